@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,14 +29,18 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, GROUP_WINDOWS, SLACK, SHORTEST = 4096, 2, 192, 0.015, 256
 #: Characters of text that are tokenised at once, and words that a worker remembers.
-CHUNK_CHARS, MEMORY_WORDS = 2_000_000, 300_000
+CHUNK_CHARS, MEMORY_WORDS = 2_000_000, 600_000
+#: A Latin letter (but U+0130, whose lower case ends in a mark) before ASCII punctuation or a digit: the tokenizer always cuts there.
+CUT = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\[-`{-~])"
 
 
 class WordEncoder:
     """Token ids of whole texts, encoding each distinct word once while it is remembered.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order. Forgetting words only costs time.
+    text are those of its words in order. Words are cut where its letter runs end and
+    ASCII is lower-cased as it would be anyway, so fewer words differ; texts that may
+    hold its special strings are left as they are. Forgetting words only costs time.
     """
 
     def __init__(self, path: str):
@@ -55,12 +60,13 @@ class WordEncoder:
             for k in range(0, len(new), 20_000):
                 part = new[k:k + 20_000]
                 for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                    known[w] = array("I", e.ids).tobytes()
         return [known[w] for w in words]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the offsets of the texts in them."""
-        lists = pc.ascii_split_whitespace(texts)
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), CUT, r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, cut))
         coded = pc.list_flatten(lists).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
@@ -122,7 +128,7 @@ def balance(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(item, start, length, window) of the pieces of a group of items, none longer than capacity."""
-    best, longest, fewest = None, capacity, -(-int(sizes.sum()) // capacity)
+    best, longest, fewest = None, max(1, capacity // 2), -(-int(sizes.sum()) // capacity)
     while True:
         parts = -(-sizes // longest)
         item = np.repeat(np.arange(len(sizes)), parts)
