@@ -129,10 +129,11 @@ def approximate_top_k(table: DataFrame, queries: DataFrame, k: int = 20, id_col:
     index = materialize(index.withColumn("group", F.lit(0)).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(cells[0])).cast("int")), "codes")
     asked = materialize(taking_part(queries).select(F.lit(0).alias("group"), F.col("vec_id").alias("query_id"), "v"), "queries")
     task, none = _rerank(centre, turn, k), F.lit(float("-inf"))
-    seeds = V.visit(index, asked.withColumn("reach", none), ["group"], cells, task, k, first_only=True)
+    seeds = materialize(V.visit(index, asked.withColumn("reach", none), cells, task, k, first_only=True), "seeds")
     reach = V.ranked(seeds, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
     asked = materialize(asked.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", none)), "asked")
-    return V.ranked(V.visit(index, asked, ["group"], cells, task, k), k).select("query_id", "rank", "vec_id", "score")
+    found = V.visit(index, asked, cells, task, k).unionByName(seeds).dropDuplicates(["query_id", "vec_id"])
+    return V.ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_bit_code_search(spark, sf_dir: str) -> DataFrame:

@@ -147,10 +147,10 @@ def exact_top_k(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     index = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
     asked = V.valid_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("reach"))
     schema, task = "group int, query_id long, v array<double>, reach double", _expand(pivots, k)
-    seeds = V.visit(index, asked.mapInArrow(_route(pivots, stats, True), schema), ["group"], cells, task, k, first_only=True)
+    seeds = V.visit(index, asked.mapInArrow(_route(pivots, stats, True), schema), cells, task, k, first_only=True)
     reach = V.ranked(seeds, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
     asked = materialize(asked.drop("reach").join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))), "queries")
-    found = V.visit(index, materialize(asked.mapInArrow(_route(pivots, stats, False), schema), "visits"), ["group"], cells, task, k)
+    found = V.visit(index, materialize(asked.mapInArrow(_route(pivots, stats, False), schema), "visits"), cells, task, k)
     return V.ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -164,8 +164,8 @@ def op3_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

@@ -74,7 +74,7 @@ def top_of_block(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
     return np.take_along_axis(score, col, 1), ids[col]
 
 
-def visit(index: DataFrame, visits: DataFrame, keys: list[str], cells: dict[int, int], task: Callable, k: int, first_only: bool = False) -> DataFrame:
+def visit(index: DataFrame, visits: DataFrame, cells: dict[int, int], task: Callable, k: int, first_only: bool = False) -> DataFrame:
     """(query_id, vec_id, score) that the task finds in the visited cells.
 
     index: group, part and columns of the task. visits: group, query_id and
