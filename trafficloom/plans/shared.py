@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -41,6 +43,25 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, columns: list[str], name: str = "__uid") -> DataFrame:
+    """columns of df and ``name``, a struct that is unique for each row and the same in every later plan.
+
+    Unlike monotonically_increasing_id(), which follows the splits and so the number of cores
+    that Spark sees while it plans, it names the row's place: file (a hash of its path)
+    and index in the file. What is not a plain scan of files is written first.
+    """
+    def named(files: DataFrame) -> DataFrame:
+        place = files.metadataColumn("_metadata")
+        return files.select(*columns, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row")).alias(name))
+
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return named(df)
+        except AnalysisException:  # files without a row index
+            pass
+    return named(materialize(df.select(*columns), "rows"))
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that materialize() returned."""
     path = getattr(df, "_shared_path", None)
