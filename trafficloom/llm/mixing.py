@@ -39,15 +39,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.least((MOST * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> DataFrame:
     """uid, doc_id, source, size, source_size, target, copies, taken for each row of docs.
 
-    uid is monotonically_increasing_id() of docs. Null and empty texts have size
+    uid is uid_col, which must be unique, or else monotonically_increasing_id() of docs. Null and empty texts have size
     0 and are taken without words; a null source is a source; repeated rows count
     each for itself; other columns are ignored. Offsets come from the source's name: reruns agree.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = materialize(rows, "sizes")
     order = [F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("uid")]
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("source").asc_nulls_last(), *order)

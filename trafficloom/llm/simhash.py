@@ -217,17 +217,18 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, uid_col: str | None = None) -> DataFrame:
     """One row per row of docs: uid, doc_id, fp (long), component_id, representative.
 
-    uid is monotonically_increasing_id() of docs. component_id is the smallest
+    uid is uid_col, which must be unique, or else monotonically_increasing_id() of docs. component_id is the smallest
     doc_id of the rows that can be reached; representative marks one row of each
     component (smallest doc_id, then uid). Null and empty texts have fingerprint
     0 and are linked like any other; repeated rows each get their row; null ids
     come last when the smallest is taken; other columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(rows.mapInArrow(_fingerprints, "uid long, doc_id long, fp long"), "simhash")
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = materialize(rows.mapInArrow(_fingerprints, f"uid {rows.schema['uid'].dataType.simpleString()}, doc_id long, fp long"), "simhash")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")
     fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     component = materialize(connected_components(near_links(fps, threshold)), "components")
