@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficloom.llm import mixing, packing, pii, simhash, toxicity
-from trafficloom.plans.shared import materialize
+from trafficloom.plans.shared import materialize, numbered
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash links: the one of the smallest doc_id."""
-    kept = simhash.near_duplicate_groups(docs).filter("representative").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, "__uid", "left_semi").select(*COLUMNS)
+    docs = numbered(docs, COLUMNS)
+    kept = simhash.near_duplicate_groups(docs, uid_col="__uid").filter("representative").select(F.col("uid").alias("__uid"))
+    return docs.join(kept, "__uid", "left_semi").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select(F.col("uid").alias("__uid"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(copies, "__uid").select(*COLUMNS)
+    docs = numbered(docs, COLUMNS)
+    copies = mixing.mix_sources(docs, uid_col="__uid").filter("copies > 0").select(F.col("uid").alias("__uid"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+    return docs.join(copies, "__uid").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
