@@ -55,6 +55,15 @@ def test_recall_and_scores(spark, monkeypatch, cell):
     assert all(r.query_id != r.vec_id for r in got)
 
 
+def test_equal_vectors_go_by_id(spark, monkeypatch):
+    monkeypatch.setattr(bit_codes, "BLOCK_ROWS", 64)
+    same = np.random.default_rng(5).standard_normal(16)
+    df = spark.createDataFrame([(i, (same * (2 if i >= 280 else 1)).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    got = bit_codes.approximate_top_k(df, df.filter("vec_id % 100 = 0"), 25).collect()
+    for q in (0, 100, 200):
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [*range(280, 300), *[i for i in range(6) if i != q][:5]]
+
+
 def test_recall_on_the_table(spark):
     d = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()

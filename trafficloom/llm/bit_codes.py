@@ -5,8 +5,8 @@ its coordinates (packed bits) with two correction scalars: its distance from the
 centre and the inner product ``a`` of its unit vector with its code. With
 code o' and unit query q, ``<o', q> / a`` estimates ``<o, q>`` with an error below
 ``EPSILON * sqrt((1 - a^2) / (a^2 (dim - 1)))`` but for few rows. A query reranks, by
-the original vectors, those rows of a cell whose upper bound reaches the k-th best
-lower bound, or the k-th best exact score that a first cell gave it.
+the original vectors, first the rows of a cell with the best estimates, then those
+whose upper bound reaches the k-th best exact score so far, in this cell or a first one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from ..plans.shared import materialize
 from . import vectors as V
 
 EPSILON, SEED = 2.2, 20
+#: So many times k rows of a cell are reranked first; their k-th best score is the bar for the others' upper bounds.
+FIRST = 4
+BLOCK_ROWS = 50_000
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -70,6 +73,18 @@ def _sums(dim: int):
     return run
 
 
+def _first_exact(q: np.ndarray, x: np.ndarray, about: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best exact score among the rows with the best estimates, less what rounding may take; -inf if rows are too few."""
+    n = min(FIRST * k, x.shape[0])
+    if n < k:
+        return np.full(len(q), -np.inf)
+    cand = np.argpartition(about, x.shape[0] - n, axis=1)[:, x.shape[0] - n:]
+    score = np.einsum("ij,ikj->ik", q, x[cand])
+    score[np.take_along_axis(about, cand, 1) == -np.inf] = -np.inf
+    kth = np.partition(score, n - k, axis=1)[:, n - k]
+    return kth - 1e-9 * np.where(np.isfinite(kth), 1 + np.abs(kth), 0)
+
+
 def _rerank(centre: np.ndarray, turn: np.ndarray, k: int):
     dim = len(centre)
 
@@ -88,12 +103,16 @@ def _rerank(centre: np.ndarray, turn: np.ndarray, k: int):
             part = slice(s, s + 128)
             about, error = estimate(q[part], bits, far, fit, centre, turn)
             about[vid[None, :] == qid[part, None]] = -np.inf
-            lower = about - error
-            floor = reach[part]
-            if len(vid) > k:
-                floor = np.maximum(floor, np.partition(lower, len(vid) - k, axis=1)[:, len(vid) - k])
-            row, col = np.nonzero((about + error >= floor[:, None]) & (about > -np.inf))
-            exact = np.concatenate([np.einsum("ij,ij->i", q[part][row[c:c + 50_000]], x[col[c:c + 50_000]]) for c in range(0, len(row), 50_000)] or [np.zeros(0)])
+            own = q[part]
+            floor = np.maximum(reach[part], _first_exact(own, x, about, k))
+            go = (about + error >= floor[:, None]) & (about > -np.inf)
+            kept = []
+            for i in range(len(own)):
+                near = np.flatnonzero(go[i])
+                kept.append(near[x[near] @ own[i] >= floor[i]])
+            row, col = np.repeat(np.arange(len(own)), [len(c) for c in kept]), np.concatenate(kept)
+            blocks = range(0, len(row), BLOCK_ROWS)  # of equal vectors all may be left
+            exact = np.concatenate([np.einsum("ij,ij->i", own[row[c:c + BLOCK_ROWS]], x[col[c:c + BLOCK_ROWS]]) for c in blocks] or [np.zeros(0)])
             order = np.lexsort((vid[col], -exact, row))
             row, col, exact = row[order], col[order], exact[order]
             nth = np.arange(len(row)) - np.searchsorted(row, row)
