@@ -79,27 +79,64 @@ def shared_keys(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFram
     return counted.withColumn("shared", F.col("c") + (F.col("none_l") & F.col("none_r")).cast("int")).drop("c", "none_l", "none_r")
 
 
+def rarest_first(fps: DataFrame, scope: list[str], seen: DataFrame | None = None) -> DataFrame:
+    """(scope, fp_id, n, none, ordered): distinct fingerprints with their keys, the rarest of ``seen`` first.
+
+    n counts all keys, none tells whether the no-certificate key is one; ordered leaves it out: it counts as the last.
+    """
+    def flat(df):
+        return df.select(*scope, "fp_id", F.size("keys").alias("n"), F.array_contains("keys", NO_CERT).alias("none"), F.explode(F.filter("keys", lambda k: k != NO_CERT)).alias("key"))
+
+    counts = flat(fps if seen is None else seen).groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("f"))
+    ordered = F.transform(F.array_sort(F.collect_set(F.struct("f", "key"))), lambda x: x["key"])
+    return flat(fps).join(counts, [*scope, "key"]).groupBy(*scope, "fp_id").agg(F.first("n").alias("n"), F.first("none").alias("none"), ordered.alias("ordered"))
+
+
+def matches(left: DataFrame, right: DataFrame, threshold: float, scope: list[str], distinct_pairs: bool = False) -> DataFrame:
+    """Pairs (l, r) of two rarest_first() tables with a score of at least threshold (above 0) that share more than the no-certificate key.
+
+    Sets of n keys that are similar enough share ceil(threshold * n) of them, hence one of the
+    n - ceil(threshold * n) + 1 rarest of both. Only those prefixes are joined, so a key that most fingerprints
+    hold brings together only those that have hardly another. From the place of the shared key follows the most
+    that a pair can share; what passes is counted on the whole sets. distinct_pairs: one table, l < r.
+    """
+    def side(df, x):
+        length = F.col("n") - F.greatest(F.ceil(F.lit(float(threshold)) * F.col("n") - 1e-9), F.lit(1)).cast("int") + 1
+        return df.select(*scope, F.col("fp_id").alias(x), F.col("n").alias(f"n_{x}"), F.posexplode(F.slice("ordered", F.lit(1), length)).alias(f"p_{x}", "key"))
+
+    met = side(left, "l").join(side(right, "r"), [*scope, "key"])
+    if distinct_pairs:
+        met = met.filter((F.col("l") < F.col("r")) & sizes_can_reach(F.col("n_l"), F.col("n_r"), threshold))
+    most = F.least(F.col("n_l") - F.col("p_l"), F.col("n_r") - F.col("p_r"))
+    met = met.filter(most >= F.lit(threshold / (1 + threshold)) * (F.col("n_l") + F.col("n_r")) - 1e-9).select(*scope, "l", "r").distinct()
+
+    def whole(df, x):
+        return df.select(*scope, F.col("fp_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("none").alias(f"none_{x}"), F.col("ordered").alias(f"keys_{x}"))
+
+    both = met.join(whole(left, "l"), [*scope, "l"]).join(whole(right, "r"), [*scope, "r"])
+    shared = F.size(F.array_intersect("keys_l", "keys_r")) + (F.col("none_l") & F.col("none_r")).cast("int")
+    return both.select(*scope, "l", "r", jaccard_of_counts(shared, F.col("n_l"), F.col("n_r")).alias("score")).filter(F.col("score") >= threshold)
+
+
 def similar_pairs(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
     """Pairs l < r of a scope with Jaccard >= threshold (0 < threshold); sizes are compared first.
 
-    Pairs of which each has the no-certificate key alone are equal, hence no pair.
+    Pairs of which each has the no-certificate key alone are equal, hence no pair. Repeated rows count once.
     """
-    pairs = shared_keys(fps, fps, scope).filter(F.col("l") < F.col("r")).filter(sizes_can_reach(F.col("n_l"), F.col("n_r"), threshold))
-    score = jaccard_of_counts(F.col("shared"), F.col("n_l"), F.col("n_r"))
-    return _with_bare_pairs(pairs, fps, threshold, scope).withColumn("score", score).filter(F.col("score") >= threshold).select(*scope, "l", "r", "score")
+    table = materialize(rarest_first(fps, scope), "ordered")
+    pairs = matches(table, table, threshold, scope, distinct_pairs=True)
+    return pairs if threshold > 0.5 else pairs.unionByName(_bare_pairs(fps, threshold, scope))
 
 
-def _with_bare_pairs(pairs: DataFrame, fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
-    """Adds the pairs that share the no-certificate key only: their score is 1 / (n + m - 1), so only small sets can reach the threshold."""
+def _bare_pairs(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
+    """The pairs that share the no-certificate key only: their score is 1 / (n + m - 1), so only small sets can reach the threshold."""
     most = int(1 / threshold) + 1
-    small = fps.filter(F.array_contains("keys", NO_CERT) & (F.size("keys") <= most))
+    small = fps.filter(F.array_contains("keys", NO_CERT) & (F.size("keys") <= most)).dropDuplicates([*scope, "fp_id"])
     a = small.select(*scope, F.col("fp_id").alias("l"), F.col("keys").alias("kl"), F.size("keys").alias("n_l"))
     b = small.select(*scope, F.col("fp_id").alias("r"), F.col("keys").alias("kr"), F.size("keys").alias("n_r"))
-    if threshold > 0.5:
-        return pairs  # n + m - 1 <= 1 only for equal sets
     on = [*scope] or None
     met = (a.join(b, on) if on else a.join(b, F.lit(True))).filter(F.col("l") < F.col("r")).filter(sizes_can_reach(F.col("n_l"), F.col("n_r"), threshold)).filter(F.size(F.array_intersect("kl", "kr")) == 1)
-    return pairs.unionByName(met.select(*scope, "l", "r", "n_l", "n_r", F.lit(1).alias("shared")))
+    return met.withColumn("score", jaccard_of_counts(F.lit(1), F.col("n_l"), F.col("n_r"))).filter(F.col("score") >= threshold).select(*scope, "l", "r", "score")
 
 
 def merge_map(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
@@ -152,17 +189,32 @@ def closest(tests: DataFrame, trains: DataFrame) -> DataFrame:
     do no better than the smallest train set that has it, so one row stands for all of those.
     """
     met = shared_keys(tests, trains, []).select("l", "r", jaccard_of_counts(F.col("shared"), F.col("n_l"), F.col("n_r")).alias("score"))
-    bare = trains.filter(F.array_contains("keys", NO_CERT)).agg(F.min(F.struct(F.size("keys").alias("n"), F.col("fp_id").alias("r"))).alias("m")).filter("m IS NOT NULL")
-    some = tests.filter(F.array_contains("keys", NO_CERT)).select(F.col("fp_id").alias("l"), F.size("keys").alias("n_l")).join(F.broadcast(bare))
-    met = met.unionByName(some.select("l", F.col("m.r").alias("r"), jaccard_of_counts(F.lit(1), F.col("n_l"), F.col("m.n")).alias("score")))
+    met = met.unionByName(_bare_matches(tests, trains))
     best = met.groupBy("l", "r").agg(F.max("score").alias("score")).groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(-F.col("score"), F.col("r"))).alias("m"))
     return best.select(F.col("l").alias("fp_id"), F.col("m.r").alias("match_id"), F.col("m.score").alias("score"))
 
 
+def _bare_matches(tests: DataFrame, trains: DataFrame) -> DataFrame:
+    """(l, r, score) of the tests that hold the no-certificate key and the smallest train set that does, as if they shared nothing else."""
+    bare = trains.filter(F.array_contains("keys", NO_CERT)).agg(F.min(F.struct(F.size("keys").alias("n"), F.col("fp_id").alias("r"))).alias("m")).filter("m IS NOT NULL")
+    some = tests.filter(F.array_contains("keys", NO_CERT)).select(F.col("fp_id").alias("l"), F.size("keys").alias("n_l")).join(F.broadcast(bare))
+    return some.select("l", F.col("m.r").alias("r"), jaccard_of_counts(F.lit(1), F.col("n_l"), F.col("m.n")).alias("score"))
+
+
 def is_in(tests: DataFrame, trains: DataFrame, similarity: float) -> DataFrame:
-    """(fp_id, found): whether some train fingerprint shares a key and is similar enough."""
-    best = closest(tests, trains)
-    return tests.select("fp_id").distinct().join(best, "fp_id", "left").select("fp_id", F.coalesce(F.col("score") >= similarity, F.lit(False)).alias("found"))
+    """(fp_id, found): whether some train fingerprint shares a key and is similar enough.
+
+    Above a similarity of 0 only the rarest keys are joined (see matches).
+    """
+    if similarity <= 0:
+        found = closest(tests, trains).filter(F.col("score") >= similarity).select("fp_id")
+    else:
+        seen = tests.select("fp_id", "keys").union(trains.select("fp_id", "keys"))
+        left, right = (materialize(rarest_first(df, [], seen), "ordered") for df in (tests, trains))
+        near = matches(left, right, similarity, []).select("l")
+        found = near.union(_bare_matches(tests, trains).filter(F.col("score") >= similarity).select("l")).distinct().withColumnRenamed("l", "fp_id")
+    asked = tests.select("fp_id").distinct()
+    return asked.join(found.withColumn("found", F.lit(True)), "fp_id", "left").select("fp_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def prepare(rows: DataFrame, batch: float, window: float, correlation: float) -> dict[str, DataFrame]:
@@ -175,7 +227,7 @@ def prepare(rows: DataFrame, batch: float, window: float, correlation: float) ->
     edges = graph.correlations(nodes, correlation)
     cliques = graph.maximal_cliques(nodes, edges)
     fps = materialize(build(graph.clique_destinations(cliques, nodes), state), "fingerprints")
-    return {"batched": batched, "keys": keys, "clustered": clustered, "state": state, "nodes": nodes, "edges": edges, "cliques": cliques, "fps": fps}
+    return {"batched": clustered, "keys": keys, "clustered": clustered, "state": state, "nodes": nodes, "edges": edges, "cliques": cliques, "fps": fps}
 
 
 def generate(rows: DataFrame, batch: float = 300.0, window: float = 30.0, correlation: float = 0.1, similarity: float = 0.9) -> DataFrame:

@@ -41,7 +41,10 @@ def recognize(tests: DataFrame, model: DataFrame, default: str = "common") -> Da
 
 def detect(tests: DataFrame, model: DataFrame, threshold: float | None = None, default_threshold: float = 0.1) -> DataFrame:
     """fp_id and +1 (known) or -1; a threshold of 0 counts as not given."""
-    return predict(tests, model, None).select("fp_id", F.when(F.col("score") >= (threshold or default_threshold), 1).otherwise(-1).alias("prediction"))
+    least = threshold or default_threshold
+    if least > 0:
+        return fp.is_in(tests, model, least).select("fp_id", F.when(F.col("found"), 1).otherwise(-1).alias("prediction"))
+    return predict(tests, model, None).select("fp_id", F.when(F.col("score") >= least, 1).otherwise(-1).alias("prediction"))
 
 
 def encoded(model: DataFrame) -> DataFrame:
