@@ -44,23 +44,43 @@ def assemble_flows(packets: DataFrame, labels: DataFrame | None = None, on_error
 
     A flow whose packets have other ends or two certificates spoils its file:
     'drop_file' leaves the whole file out, 'fail' raises. labels (file, label)
-    gives each flow a label, else the file is the label.
+    gives each flow a label, else the file is the label. Packets are shuffled once, by flow; the
+    pairs of ends that a flow has seen (one, unless it is spoilt) are kept beside its packets.
     """
-    good = oriented_packets(packets)
-    spoilt = good.groupBy(*FLOW).agg(F.max("bad_ends").alias("bad"), F.count_distinct("cert").alias("certs")).filter("bad OR certs > 1").select("file").distinct()
-    if on_error == "fail":
-        if bad := spoilt.first():
-            raise ValueError(f"flows of {bad.file} are not consistent")
-    else:
-        good = good.join(spoilt, "file", "left_anti")
-    ordered = F.array_sort(F.collect_list(F.struct("pkt_no", "ts", "signed")))
-    flows = good.groupBy(*FLOW).agg(
-        F.first("src").alias("src"), F.first("sport").alias("sport"), F.first("dst").alias("dst"), F.first("dport").alias("dport"), F.max("cert").alias("cert"), F.min("first_pkt").alias("first_pkt"),
-        F.min("ts").alias("time_start"), F.max("ts").alias("time_end"), F.count(F.lit(1)).alias("n_packets"),
-        F.sum(F.when(F.col("signed") > 0, F.col("signed")).otherwise(0)).alias("bytes_out"), F.sum(F.when(F.col("signed") < 0, -F.col("signed")).otherwise(0)).alias("bytes_in"), ordered.alias("p"))
-    flows = flows.withColumn("timestamps", F.transform("p", lambda x: x["ts"])).withColumn("lengths", F.transform("p", lambda x: x["signed"])).drop("p")
+    def pair(a, b):
+        return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+    flows = packets.groupBy(*FLOW).agg(
+        F.min_by(F.struct("ip_src", "port_src", "ip_dst", "port_dst"), "pkt_no").alias("f"), F.collect_set(F.struct(pair("ip_src", "ip_dst").alias("ips"), pair("port_src", "port_dst").alias("ports"))).alias("seen"),
+        F.max("cert").alias("cert"), F.min("cert").alias("other"), F.min("pkt_no").alias("first_pkt"), F.min("ts").alias("time_start"), F.max("ts").alias("time_end"), F.count(F.lit(1)).alias("n_packets"),
+        F.array_sort(F.collect_list(F.struct("pkt_no", "ts", "len", "ip_src"))).alias("p"))
+    ahead = F.col("f.port_src") > F.col("f.port_dst")
+
+    def side(a, b):
+        return F.when(ahead, F.col(f"f.{a}")).otherwise(F.col(f"f.{b}"))
+
+    other_ends = F.exists("seen", lambda e: (e["ips"] != pair("f.ip_src", "f.ip_dst")) & (e["ports"] != pair("f.port_src", "f.port_dst")))
+    flows = flows.select(
+        *FLOW, side("ip_src", "ip_dst").alias("src"), side("port_src", "port_dst").alias("sport"), side("ip_dst", "ip_src").alias("dst"), side("port_dst", "port_src").alias("dport"), "cert", "first_pkt",
+        "time_start", "time_end", "n_packets", "p", (other_ends | F.coalesce(F.col("cert") != F.col("other"), F.lit(False))).alias("spoilt"))
+    flows = flows.withColumn("lengths", F.transform("p", lambda x: F.when(x["ip_src"] == F.col("src"), x["len"]).otherwise(-x["len"])))
+
+    def total(sign):
+        return F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x * sign, F.lit(0)))
+
+    flows = flows.select(
+        *FLOW, "src", "sport", "dst", "dport", "cert", "first_pkt", "time_start", "time_end", "n_packets", total(1).alias("bytes_out"), total(-1).alias("bytes_in"), F.transform("p", lambda x: x["ts"]).alias("timestamps"), "lengths", "spoilt")
     flows = flows.join(labels, "file") if labels is not None else flows.withColumn("label", F.col("file"))
-    return global_rank(flows, "flow_idx", [F.col("file"), F.col("first_pkt"), F.col("proto"), F.col("stream")]).drop("first_pkt")
+
+    def sound(dealt):
+        spoilt = dealt.filter("spoilt").select("file").distinct()
+        if on_error == "fail":
+            if bad := spoilt.first():
+                raise ValueError(f"flows of {bad.file} are not consistent")
+            return dealt
+        return dealt.join(spoilt, "file", "left_anti")
+
+    return global_rank(flows, "flow_idx", [F.col("file"), F.col("first_pkt"), F.col("proto"), F.col("stream")], sound).drop("first_pkt", "spoilt")
 
 
 def time_batches(flows: DataFrame, width: float = 300.0) -> DataFrame:

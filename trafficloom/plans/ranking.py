@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 
-def global_rank(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+def global_rank(df: DataFrame, name: str, order: list[Column], keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with 0, 1, 2, ... in the given order; the order must be total to be repeatable.
 
     Rows are dealt by range; each range counts its rows, the counts of the ranges before
-    are added. Only one row per range meets in one task.
+    are added. Only one row per range meets in one task. keep chooses the rows to be ranked
+    from the dealt ones, which are written by then.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = materialize(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranked")
+    dealt = keep(dealt) if keep else dealt
     counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = counts.select("__part", (F.sum("__n").over(w) - F.col("__n")).alias("__before"))
