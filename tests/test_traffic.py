@@ -116,6 +116,42 @@ def test_similarity_operators(spark):
     assert found == {x: x in want and want[x][1] >= 0.5 for x in ids}
 
 
+def test_similar_pairs_by_rare_keys(spark):
+    rng = random.Random(9)
+    names = [f"d|2.2.2.{k}|443" for k in range(30)] + ["n|"]
+    sets = []
+    for _ in range(25):
+        base = rng.sample(names, rng.randint(4, 22))
+        sets += [base, [*base, f"c|{rng.randrange(99)}"], base[1:], [k for k in base if k != "n|"]]
+    sets = list({frozenset(s) for s in sets if s})
+    df = fp_table(spark, sets)
+    ids = {r.fp_id: frozenset(r["keys"]) for r in df.collect()}
+    for t in (0.1, 0.5, 0.8, 0.9, 0.95):
+        want = {}
+        for x, y in itertools.combinations(sorted(ids), 2):
+            a, b = len(ids[x]), len(ids[y])
+            score = len(ids[x] & ids[y]) / len(ids[x] | ids[y])
+            if score >= t and (max(a, b) - min(a, b)) / max(a, b) <= 1 - t:
+                want[x, y] = score
+        got = fingerprints.similar_pairs(df.union(df), t, []).collect()
+        assert len(got) == len(want) and {(r.l, r.r): r.score for r in got} == want
+        some, rest = df.filter("n_flows % 3 = 0"), df.filter("n_flows % 3 <> 0")
+        known = [ids[r.fp_id] for r in rest.collect()]
+        found = {r.fp_id: r.found for r in fingerprints.is_in(some, rest, t).collect()}
+        assert found == {r.fp_id: any(len(ids[r.fp_id] & k) / len(ids[r.fp_id] | k) >= t for k in known) for r in some.collect()}
+    assert fingerprints.similar_pairs(df.limit(0), 0.9, []).count() == 0
+
+
+def test_merged_numbers_of_flows_stay_in_range(spark):
+    shared = [f"d|1.1.1.{k}|443" for k in range(6)]
+    df = fp_table(spark, [[*shared, f"c|{k}"] for k in range(60)])
+    now = {r.fp_id: (set(r["keys"]), r.n_flows) for r in df.collect()}
+    for x, y in itertools.combinations(sorted(now), 2):
+        now[x] = now[y] = (now[x][0] | now[y][0], min(now[x][1] + now[y][1], 2**63 - 1))
+    got = {r.fp_id: (set(r["keys"]), r.n_flows) for r in fingerprints.merge_map(df, 0.5, []).collect()}
+    assert got == now and max(n for _, n in got.values()) == 2**63 - 1
+
+
 def test_fill_over_batches(spark):
     rows = [(0, 1, 0.0, None), (1, 1, 1.0, "a"), (2, 1, 2.0, None), (3, 1, 3.0, "b"), (4, 2, 10.0, None), (5, 2, 11.0, None), (6, 3, 12.0, "c"), (7, 4, 13.0, None)]
     df = spark.createDataFrame(rows, "flow_idx long, batch int, time_start double, fp_id string")

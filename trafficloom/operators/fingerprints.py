@@ -12,6 +12,7 @@ from ..plans.shared import materialize
 from . import clusters, flows, graph
 
 EMPTY = "cast(array() as array<string>)"
+MOST = 2**63 - 1
 
 
 def build(clique_dests: DataFrame, state: DataFrame) -> DataFrame:
@@ -144,7 +145,8 @@ def merge_map(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
 
     0 or less: one fingerprint of all keys of the scope; 1 or more: itself. Between, the similar
     pairs are folded in order of (l, r): both members take the union of what they are by then. Pairs are grouped by
-    connected component first, so a task folds one component.
+    connected component first, so a task folds one component. Numbers of flows add up with
+    every fold, so chains double them: they stay at the largest long once they reach it.
     """
     own = fps.select(*scope, "fp_id", F.col("fp_id").alias("merged_id"), "keys", "n_flows")
     if threshold >= 1:
@@ -165,7 +167,7 @@ def merge_map(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
         known = known.rename(columns=lambda c: c.removeprefix("s_"))
         now = {i: (frozenset(k), n) for i, k, n in zip(known.fp_id, known["keys"], known.n_flows)}
         for a, b in sorted(zip(links.l, links.r)):
-            now[a] = now[b] = (now[a][0] | now[b][0], now[a][1] + now[b][1])
+            now[a] = now[b] = (now[a][0] | now[b][0], min(now[a][1] + now[b][1], MOST))
         out = known[[*scope, "fp_id"]].copy()
         out["keys"] = [sorted(now[i][0]) for i in known.fp_id]
         out["n_flows"] = [now[i][1] for i in known.fp_id]
