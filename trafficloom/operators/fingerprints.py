@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,17 +221,45 @@ def is_in(tests: DataFrame, trains: DataFrame, similarity: float) -> DataFrame:
     return asked.join(found.withColumn("found", F.lit(True)), "fp_id", "left").select("fp_id", F.coalesce("found", F.lit(False)).alias("found"))
 
 
-def prepare(rows: DataFrame, batch: float, window: float, correlation: float) -> dict[str, DataFrame]:
-    """All intermediate tables of one run over flows."""
-    batched = flows.time_batches(rows, batch)
-    keys = materialize(clusters.key_destinations(batched), "keys")
-    clustered = materialize(clusters.lookup_destinations(batched, keys), "clustered")
-    state = clusters.destination_state(clustered)
-    nodes = materialize(graph.signatures(graph.activity(clustered, window)), "nodes")
-    edges = graph.correlations(nodes, correlation)
-    cliques = graph.maximal_cliques(nodes, edges)
-    fps = materialize(build(graph.clique_destinations(cliques, nodes), state), "fingerprints")
-    return {"batched": clustered, "keys": keys, "clustered": clustered, "state": state, "nodes": nodes, "edges": edges, "cliques": cliques, "fps": fps}
+class Tables:
+    """The intermediate tables of one run over flows; each is made when it is first asked for."""
+
+    def __init__(self, rows: DataFrame, batch: float, window: float, correlation: float):
+        self.window, self.correlation = window, correlation
+        self.batched = flows.time_batches(rows, batch)
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return materialize(clusters.key_destinations(self.batched), "keys")
+
+    @cached_property
+    def clustered(self) -> DataFrame:
+        """The batched flows with their destinations."""
+        return materialize(clusters.lookup_destinations(self.batched, self.keys), "clustered")
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return clusters.destination_state(self.clustered)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return materialize(graph.signatures(graph.activity(self.clustered, self.window)), "nodes")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.correlations(self.nodes, self.correlation)
+
+    @cached_property
+    def cliques(self) -> DataFrame:
+        return graph.maximal_cliques(self.nodes, self.edges)
+
+    @cached_property
+    def fps(self) -> DataFrame:
+        return materialize(build(graph.clique_destinations(self.cliques, self.nodes), self.state), "fingerprints")
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return assign(self.clustered, self.fps)
 
 
 def generate(rows: DataFrame, batch: float = 300.0, window: float = 30.0, correlation: float = 0.1, similarity: float = 0.9) -> DataFrame:
@@ -237,9 +267,9 @@ def generate(rows: DataFrame, batch: float = 300.0, window: float = 30.0, correl
 
     Per batch: assign, fill, merge; then over all batches: merge, fill.
     """
-    t = prepare(rows, batch, window, correlation)
-    filled = fill_nearest(assign(t["batched"], t["fps"]))
-    local = materialize(merge_map(t["fps"], similarity, ["batch"]), "merged")
+    t = Tables(rows, batch, window, correlation)
+    filled = fill_nearest(t.assigned)
+    local = materialize(merge_map(t.fps, similarity, ["batch"]), "merged")
     first = filled.join(local.select("batch", "fp_id", "merged_id"), ["batch", "fp_id"], "left").select("flow_idx", "batch", "time_start", F.col("merged_id").alias("fp_id"))
     distinct = local.groupBy(F.col("merged_id").alias("fp_id")).agg(F.first("keys").alias("keys"), F.max("n_flows").alias("n_flows"))
     overall = materialize(merge_map(distinct, similarity, []), "merged")

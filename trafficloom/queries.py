@@ -21,7 +21,7 @@ def _flows(spark, d):
 
 
 def _tables(spark, d):
-    return fingerprints.prepare(_flows(spark, d), BATCH, WINDOW, CORRELATION)
+    return fingerprints.Tables(_flows(spark, d), BATCH, WINDOW, CORRELATION)
 
 
 def _text(c):
@@ -77,59 +77,59 @@ def destination_lookup(spark, d):
 
 
 def destination_description(spark, d):
-    return clusters.destination_descriptions(_tables(spark, d)["clustered"])
+    return clusters.destination_descriptions(_tables(spark, d).clustered)
 
 
 def cluster_summary(spark, d):
-    return clusters.cluster_summary(_tables(spark, d)["clustered"])
+    return clusters.cluster_summary(_tables(spark, d).clustered)
 
 
 def cluster_plot_sizes(spark, d):
-    return clusters.plot_sizes(_tables(spark, d)["clustered"])
+    return clusters.plot_sizes(_tables(spark, d).clustered)
 
 
 def activity_bins(spark, d):
-    return graph.activity(_tables(spark, d)["clustered"], WINDOW).select("batch", "dest_id", _text("bins"))
+    return graph.activity(_tables(spark, d).clustered, WINDOW).select("batch", "dest_id", _text("bins"))
 
 
 def activity_signatures(spark, d):
-    return _tables(spark, d)["nodes"].select("batch", "node_id", _text("bins"), _text("dest_ids"))
+    return _tables(spark, d).nodes.select("batch", "node_id", _text("bins"), _text("dest_ids"))
 
 
 def correlation_edges(spark, d):
-    return _tables(spark, d)["edges"]
+    return _tables(spark, d).edges
 
 
 def complete_graph_edges(spark, d):
-    return graph.correlations(_tables(spark, d)["nodes"], 0).select("batch", "u", "v")
+    return graph.correlations(_tables(spark, d).nodes, 0).select("batch", "u", "v")
 
 
 def unpacked_graph(spark, d):
     t = _tables(spark, d)
-    return graph.unpack(t["nodes"], t["edges"])
+    return graph.unpack(t.nodes, t.edges)
 
 
 def maximal_cliques(spark, d):
-    return _tables(spark, d)["cliques"].select("batch", _text("node_ids"))
+    return _tables(spark, d).cliques.select("batch", _text("node_ids"))
 
 
 def fingerprints_raw(spark, d):
-    return _tables(spark, d)["fps"].select("batch", "fp_id", _text("keys"), "n_flows")
+    return _tables(spark, d).fps.select("batch", "fp_id", _text("keys"), "n_flows")
 
 
 def flow_fingerprint_raw(spark, d):
     t = _tables(spark, d)
-    return fingerprints.assign(t["batched"], t["fps"]).select("flow_idx", "batch", "fp_id")
+    return t.assigned.select("flow_idx", "batch", "fp_id")
 
 
 def nearest_fill(spark, d):
     t = _tables(spark, d)
-    return fingerprints.fill_nearest(fingerprints.assign(t["batched"], t["fps"])).select("flow_idx", "batch", "fp_id")
+    return fingerprints.fill_nearest(t.assigned).select("flow_idx", "batch", "fp_id")
 
 
 def nearest_fill_all(spark, d):
     t = _tables(spark, d)
-    return fingerprints.fill_nearest(fingerprints.assign(t["batched"], t["fps"]), over_all=True).select("flow_idx", "batch", "fp_id")
+    return fingerprints.fill_nearest(t.assigned, over_all=True).select("flow_idx", "batch", "fp_id")
 
 
 def flow_fingerprint(spark, d):
@@ -200,7 +200,7 @@ def model_roundtrip(spark, d):
 
 def graph_export_nodes(spark, d):
     t = _tables(spark, d)
-    return graph.node_labels(t["nodes"], t["state"])
+    return graph.node_labels(t.nodes, t.state)
 
 
 def _whole(spark, d):
