@@ -186,16 +186,29 @@ def name_of(scope: list[str], column: str):
     return F.concat_ws("/", *[F.col(c).cast("string") for c in scope], F.col(column))
 
 
-def closest(tests: DataFrame, trains: DataFrame) -> DataFrame:
+def closest(tests: DataFrame, trains: DataFrame, rounds: tuple[float, ...] = (0.5, 0.2)) -> DataFrame:
     """(fp_id, match_id, score): of the train fingerprints that share a key the most similar, then smallest id.
 
-    Tests without any shared key are left out. A test that shares only the no-certificate key can
+    Tests without any shared key are left out. Each round joins the rarest keys alone (see
+    matches) and settles the tests that have a match of at least its similarity; only the rest
+    is compared on every key. A test that shares only the no-certificate key can
     do no better than the smallest train set that has it, so one row stands for all of those.
     """
+    def best(met):
+        one = met.groupBy("l", "r").agg(F.max("score").alias("score")).groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(-F.col("score"), F.col("r"))).alias("m"))
+        return one.select(F.col("l").alias("fp_id"), F.col("m.r").alias("match_id"), F.col("m.score").alias("score"))
+
+    seen = tests.select("fp_id", "keys").union(trains.select("fp_id", "keys"))
+    left, right = (materialize(rarest_first(df, [], seen), "ordered") for df in (tests, trains))
+    settled = None
+    for least in rounds:
+        near = matches(left, right, least, []).unionByName(_bare_matches(tests, trains).filter(F.col("score") >= least))
+        found = materialize(best(near), "closest")
+        left, tests = (df.join(found, "fp_id", "left_anti") for df in (left, tests))
+        settled = found if settled is None else settled.unionByName(found)
     met = shared_keys(tests, trains, []).select("l", "r", jaccard_of_counts(F.col("shared"), F.col("n_l"), F.col("n_r")).alias("score"))
-    met = met.unionByName(_bare_matches(tests, trains))
-    best = met.groupBy("l", "r").agg(F.max("score").alias("score")).groupBy("l").agg(F.min_by(F.struct("r", "score"), F.struct(-F.col("score"), F.col("r"))).alias("m"))
-    return best.select(F.col("l").alias("fp_id"), F.col("m.r").alias("match_id"), F.col("m.score").alias("score"))
+    rest = best(met.unionByName(_bare_matches(tests, trains)))
+    return rest if settled is None else settled.unionByName(rest)
 
 
 def _bare_matches(tests: DataFrame, trains: DataFrame) -> DataFrame:
