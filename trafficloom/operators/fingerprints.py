@@ -133,12 +133,11 @@ def similar_pairs(fps: DataFrame, threshold: float, scope: list[str]) -> DataFra
 
 def _bare_pairs(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
     """The pairs that share the no-certificate key only: their score is 1 / (n + m - 1), so only small sets can reach the threshold."""
-    most = int(1 / threshold) + 1
-    small = fps.filter(F.array_contains("keys", NO_CERT) & (F.size("keys") <= most)).dropDuplicates([*scope, "fp_id"])
-    a = small.select(*scope, F.col("fp_id").alias("l"), F.col("keys").alias("kl"), F.size("keys").alias("n_l"))
+    most = int(1 / threshold + 1e-9) + 1  # of both sizes together
+    small = fps.filter(F.array_contains("keys", NO_CERT) & (F.size("keys") < most)).dropDuplicates([*scope, "fp_id"])
+    a = small.select(*scope, F.col("fp_id").alias("l"), F.col("keys").alias("kl"), F.size("keys").alias("n_l"), F.explode(F.sequence(F.lit(1), F.lit(most) - F.size("keys"))).alias("n_r"))
     b = small.select(*scope, F.col("fp_id").alias("r"), F.col("keys").alias("kr"), F.size("keys").alias("n_r"))
-    on = [*scope] or None
-    met = (a.join(b, on) if on else a.join(b, F.lit(True))).filter(F.col("l") < F.col("r")).filter(sizes_can_reach(F.col("n_l"), F.col("n_r"), threshold)).filter(F.size(F.array_intersect("kl", "kr")) == 1)
+    met = a.join(b, [*scope, "n_r"]).filter(F.col("l") < F.col("r")).filter(sizes_can_reach(F.col("n_l"), F.col("n_r"), threshold)).filter(F.size(F.array_intersect("kl", "kr")) == 1)
     return met.withColumn("score", jaccard_of_counts(F.lit(1), F.col("n_l"), F.col("n_r"))).filter(F.col("score") >= threshold).select(*scope, "l", "r", "score")
 
 
