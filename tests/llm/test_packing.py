@@ -51,6 +51,23 @@ def test_differencing_of_known_sets():
     assert np.ptp(np.bincount(P.difference(np.arange(1, 400), 8), weights=np.arange(1, 400))) <= 4
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 4096), min_size=1, max_size=70), st.integers(1, 9))
+def test_differencing_is_multiway_differencing(sizes, windows):
+    """Against whole partial partitions, empty windows written out; equal imbalances may be merged in another order."""
+    sizes = [s * 128 + k for k, s in enumerate(sizes)]
+    parts = [[0] * (windows - 1) + [s] for s in sizes]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1] - p[0])
+        a, b = parts.pop(), parts.pop()
+        parts.append(sorted(x + y for x, y in zip(a, reversed(b))))
+    found = P.difference(np.array(sizes), windows)
+    sums = np.bincount(found, weights=sizes, minlength=windows)
+    assert sum(sums) == sum(sizes) and len(found) == len(sizes)
+    if windows > 1 and len({p for p in sizes}) == len(sizes) and len(sizes) <= 2 * windows:
+        assert sorted(sums) == parts[0]
+
+
 def test_pieces(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"word{k}" for k in rng.integers(0, 50, n)) for n in [*rng.integers(0, 900, 60), 9000, 4096]] + [None, "", " \n", "é" * 3000]

@@ -17,8 +17,9 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from array import array
+from bisect import insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, GROUP_WINDOWS, SLACK, SHORTEST = 4096, 2, 192, 0.015, 256
 #: Characters of text that are tokenised at once, and words that a worker remembers.
-CHUNK_CHARS, MEMORY_WORDS = 2_000_000, 600_000
+CHUNK_CHARS, MEMORY_WORDS = 4_000_000, 600_000
 #: A Latin letter (but U+0130, whose lower case ends in a mark) before ASCII punctuation or a digit: the tokenizer always cuts there.
 CUT = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\[-`{-~])"
 
@@ -40,28 +41,71 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words in order. Words are cut where its letter runs end and
     ASCII is lower-cased as it would be anyway, so fewer words differ; texts that may
-    hold its special strings are left as they are. Forgetting words only costs time.
+    hold its special strings are left as they are. Words are encoded many at a time,
+    with a separator between them that is one token. A word's number points to its ids in one
+    pool. At MEMORY_WORDS words, those seen in one chunk only are forgotten (all, if most were seen
+    again); that only costs time.
     """
 
+    SEPARATOR = ","
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new:
-            if len(known) + len(new) > MEMORY_WORDS:
-                known.clear()
-                known[""] = b""
-                new = [w for w in words if w]
-            for k in range(0, len(new), 20_000):
-                part = new[k:k + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = array("I", e.ids).tobytes()
-        return [known[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.ends, self.chunks = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def forget_rare(self) -> None:
+        again = np.flatnonzero(self.chunks > 1)
+        if len(again) > MEMORY_WORDS // 2:
+            return self.forget()
+        words, length = list(self.known), np.diff(self.ends)[again]
+        kept = np.repeat(np.isin(np.arange(len(words)), again), np.diff(self.ends))
+        self.known = {words[i]: n for n, i in enumerate(again.tolist())}
+        self.pool, self.ends, self.chunks = self.pool[kept], np.r_[0, np.cumsum(length)], np.ones(len(again), dtype=np.int32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one word after the other, and each word's number of ids."""
+        mark = self.between[0]
+        if len(self.between) == 1 and not any(self.SEPARATOR in w for w in words):
+            ids = np.array(self.tokenizer.encode(f" {self.SEPARATOR} ".join(words), add_special_tokens=False).ids, dtype="<u4")
+            at = np.flatnonzero(ids == mark)
+            if len(at) == len(words) - 1:
+                return np.delete(ids, at), np.diff(np.r_[-1, at, len(ids)]) - 1
+        each = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.fromiter((i for ids in each for i in ids), dtype="<u4"), np.fromiter(map(len, each), dtype=np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Each distinct word's number, encoding those that are new."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [w for w, i in zip(words, found) if i is None]
+            if self.known and len(self.known) + len(new) > MEMORY_WORDS:
+                self.forget_rare()
+                return self.numbers(words)
+            apart = [w for w in new if self.SEPARATOR in w]
+            new = [w for w in new if self.SEPARATOR not in w]
+            pools, lengths = [self.pool], []
+            for group in (new, apart):
+                for k in range(0, len(group), 20_000):
+                    ids, length = self.encode(group[k:k + 20_000])
+                    pools.append(ids)
+                    lengths.append(length)
+            first, last = len(self.known), len(self.known) + len(new) + len(apart)
+            self.known.update(zip([*new, *apart], range(first, last)))
+            self.pool = np.concatenate(pools)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
+            self.chunks = np.r_[self.chunks, np.zeros(last - first, dtype=np.int32)]
+            found = list(map(self.known.get, words))
+        number = np.array(found, dtype=np.int64)
+        self.chunks[number] += 1
+        return number
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the offsets of the texts in them."""
@@ -70,50 +114,64 @@ class WordEncoder:
         coded = pc.list_flatten(lists).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        found = self.words(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
-        length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        word = self.numbers(coded.dictionary.to_pylist())
+        begin, length = self.ends[word], self.ends[word + 1] - self.ends[word]
+        code = coded.indices.to_numpy(zero_copy_only=False)
         each = length[code]
         end = np.cumsum(each)
-        ids = pool[np.repeat((np.cumsum(length) - length)[code] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
+        place = np.repeat((begin[code] - (end - each)).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.pool[place]
         bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
         return ids, np.r_[0, end][bounds]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this worker process: its words serve all tasks that the process runs."""
+    return WordEncoder(path)
+
+
 def difference(sizes: np.ndarray, windows: int) -> np.ndarray:
-    """Window number of each size, by Karmarkar-Karp differencing into ``windows`` windows."""
-    n = len(sizes)
-    left, right, made = [], [], n
-    heap = []
-    for k, s in enumerate(sizes.tolist()):
-        total, node = np.zeros(windows, dtype=np.int64), np.full(windows, -1, dtype=np.int64)
-        total[-1], node[-1] = s, k
-        heap.append((-s, k, total, node))
+    """Window number of each size (1 or more), by Karmarkar-Karp differencing into ``windows`` windows.
+
+    A partial partition is the sorted list of its windows that hold something, as (sum, node); all others
+    are empty. A node is an item, or a pair of nodes that share a window.
+    """
+    n, pairs = len(sizes), []
+    if windows == 1:
+        return np.zeros(n, dtype=np.int64)
+    # (minus imbalance, tie break, windows in ascending order)
+    heap = [(-s, k, [(s, k)]) for k, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    tick = n
-    while len(heap) > 1:
-        _, _, a, x = heapq.heappop(heap)
-        _, _, b, y = heapq.heappop(heap)
-        total, y = a + b[::-1], y[::-1]
-        both = np.flatnonzero((x >= 0) & (y >= 0))
-        node = np.maximum(x, y)
-        node[both] = np.arange(made, made + len(both))
-        left.append(x[both])
-        right.append(y[both])
-        made += len(both)
-        order = np.argsort(total, kind="stable")
-        total, node = total[order], node[order]
-        tick += 1
-        heapq.heappush(heap, (int(total[0] - total[-1]) if windows > 1 else -int(total[-1]), tick, total, node))
-    window = np.full(made, -1, dtype=np.int64)
-    if n:
-        node = heap[0][3]
-        window[node[node >= 0]] = np.flatnonzero(node >= 0)
-    lefts, rights = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-    for k in range(made - 1, n - 1, -1):
-        window[lefts[k - n]] = window[rights[k - n]] = window[k]
-    return window[:n]
+
+    def joined(x: int, y: int) -> int:
+        pairs.append((x, y))
+        return n + len(pairs) - 1
+
+    for tick in range(n, 2 * n - 1):
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
+        over = len(a) + len(b) - windows  # so many windows of both are full and meet
+        if len(b) == 1:  # the usual case: an item goes to the emptiest window
+            s, x = b[0]
+            if over > 0:
+                t, y = a.pop(0)
+                s, x = s + t, joined(y, x)
+            insort(a, (s, x))
+        else:
+            met = [(s + t, joined(x, y)) for (s, x), (t, y) in zip(a[:max(over, 0)], reversed(b[:max(over, 0)]))]
+            a = sorted(met + a[max(over, 0):] + b[max(over, 0):])
+        heapq.heappush(heap, ((a[0][0] if len(a) == windows else 0) - a[-1][0], tick, a))
+    window = [-1] * (n + len(pairs))
+    for w, (_, node) in enumerate(heap[0][2] if n else []):
+        window[node] = w
+    for k in range(len(pairs) - 1, -1, -1):
+        x, y = pairs[k]
+        window[x] = window[y] = window[n + k]
+    return np.array(window[:n], dtype=np.int64)
 
 
 def balance(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -146,7 +204,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _packer(path: Callable[[], str] | str, capacity: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         base, made = TaskContext.get().partitionId() << 33, 0
         waiting: list[tuple] = []
         held = 0
