@@ -31,11 +31,64 @@ def test_base_equals_the_patterns():
         assert pii.base_spans(text) == plain(text), text
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "1." * 50_000, "+1" + "(" * 100_000, "token = " * 20_000, "[at]" * 20_000, "AB12" * 20_000])
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "1." * 50_000, "+1" + "(" * 100_000, "token = " * 20_000, "[at]" * 20_000, "AB12" * 20_000,
+                                  "0" * 200_000 + "1.2.3.4", "a." * 100_000 + "[at]b[dot]c", "a[at]" * 50_000, "x [at] y" + " [dot] z" * 50_000, "password=" + "aB3" * 100_000, "token" + " " * 100_000])
 def test_long_texts_take_linear_time(text):
     pii.candidates(text)
 
 
+def test_long_parts_and_whole_spans():
+    found = pii.candidates("0" * 5000 + "1.2.3.4")
+    assert [f[:3] for f in found] == [("ip", 0, 5007)]
+    key = "aB3_" * 225
+    text = f"login with password = '{key}' now"
+    assert [f[:3] for f in pii.candidates(text)] == [("secret", 23, 923)]
+    weights = pii.train_classifier([("secret", pii.candidates(text)[0][3], 50)])
+    assert pii.redact(text, weights) == "login with password = '<SECRET>' now"
+    name = "n" * 300 + " [at] " + "d" * 200 + " [dot] com"
+    assert [f[:3] for f in pii.candidates(name)] == [("spelt", 0, len(name))]
+    assert pii.spelt_addresses("..a.b(at)c (dot) d, [at] x [dot] y") == [(2, 18)]
+
+
+def test_labelers_see_evidence_of_their_own():
+    def cast(text):
+        return pii.candidates(text)[0][3][:3]
+
+    assert cast("token = 9b0b3c6a43eb78aa99cbd") == "+00"
+    assert cast("deploy token = ghp_9b0b3c6a43eb78aa99cbd") == "+++"
+    assert cast("a sample token = changeme-now") == "---"
+    assert cast("version 1.2.3.4 of it") == "++-" and cast("host 127.0.0.1") == "+-+"
+
+
+def test_em_against_one_row_per_span():
+    """The same model, fitted to spans one by one instead of to counts of patterns."""
+    rng = random.Random(8)
+    kinds = ("email", "secret")
+    patterns = sorted({(rng.choice(kinds), "".join(rng.choice("+-0") for _ in range(3)) + "1") for _ in range(25)})
+    counted = [(*p, rng.randint(1, 40)) for p in patterns]
+    spans = [(k, v) for k, v, n in counted for _ in range(n)]
+    start = {0: {"+": 0.3, "-": 0.7}, 1: {"+": 0.85, "-": 0.15}}
+    weak = {0: {"+": 3, "-": 7}, 1: {"+": 8.5, "-": 1.5}}
+    prior, trust = dict.fromkeys(kinds, 0.7), [{c: dict(start[c]) for c in (0, 1)} for _ in range(3)]
+    for _ in range(60):
+        post = []
+        for k, v in spans:
+            a, b = 1 - prior[k], prior[k]
+            for j in range(3):
+                a, b = a * trust[j][0].get(v[j], 1), b * trust[j][1].get(v[j], 1)
+            post.append(b / (a + b))
+        for k in kinds:
+            own = [p for p, s in zip(post, spans) if s[0] == k]
+            prior[k] = (7 + sum(own)) / (10 + len(own))
+        for j in range(3):
+            for c in (0, 1):
+                total = {x: weak[c][x] + sum((p if c else 1 - p) for p, s in zip(post, spans) if s[1][j] == x) for x in "+-"}
+                trust[j][c] = {x: n / sum(total.values()) for x, n in total.items()}
+    want = dict(zip(spans, post))
+    got = pii._estimate(counted)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_query(spark, tmp_path):
     texts = [None, "", 'x token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" y', "plain prose without anything", "mail bob@example.com, é +1 (017) 555-7713, 4111111111111111, 10.0.0.1", "jo [at] example [dot] com"] + ["write to a@b.com"] * 30
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(4, texts[4], "x")]

@@ -3,8 +3,9 @@
 Candidates are the matches of base patterns (email, ip, card, phone: kept as they
 are) and of looser ones (secrets after a key name, spelt-out addresses, account
 and identity numbers). Three labelers vote on every candidate, for, against or not
-at all: a regex labeler (checksum, shape), a gazetteer (known domains, key names,
-number prefixes) and a context labeler (the words before it). Expectation
+at all, each from evidence of its own: a regex labeler (checksum and shape of the span), a gazetteer (known
+domains, number ranges, key prefixes and placeholders at the span's ends) and a context labeler (words around
+the span that speak for its kind or against it, the key name that a secret needs left out). Expectation
 maximisation over the counts of vote patterns, made over all documents, estimates each
 labeler's reliability and a posterior per pattern; these posteriors train a logistic span
 classifier over votes, kind and length, which decides about the looser candidates.
@@ -36,19 +37,23 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LOOSE = {
-    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,512}+)"),
-    "spelt": re.compile(r"(?i)\b([a-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[a-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[a-z0-9-]{1,63}+){1,4})"),
+    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\s*+[=:]\s*+[\"']?([A-Za-z0-9+/_-]{8,}+)"),
     "iban": re.compile(r"\b([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     "ssn": re.compile(r"(?<![0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"),
 }
 #: What a text must hold for a loose pattern to be tried.
-HINT = {"secret": re.compile(r"[=:]"), "spelt": re.compile(r"(?i)[\[(]at[\])]"), "iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "ssn": re.compile(r"[0-9]-[0-9]{2}-[0-9]")}
+HINT = {"secret": re.compile(r"[=:]"), "iban": re.compile(r"[A-Z]{2}[0-9]{2}"), "ssn": re.compile(r"[0-9]-[0-9]{2}-[0-9]")}
+AT = re.compile(r"(?i) ?[\[(]at[\])] ?")
+SPELT_DOMAIN = re.compile(r"(?i)[a-z0-9-]++(?: ?[\[(]dot[\])] ?[a-z0-9-]++)++")
 # Gazetteers.
 DOMAINS = frozenset("com org net edu gov io de fr es uk eu info".split())
-KEY_NAMES = re.compile(r"(?i)token|secret|api[_-]?key|access[_-]?key")
-CUES = {"email": "mail contact write", "ip": "ip host server address", "card": "card visa pay account", "phone": "phone tel call fax mobile", "secret": "token secret password key", "spelt": "mail contact write", "iban": "iban bank account", "ssn": "ssn social security"}
-CUES = {k: re.compile(r"(?i)\b(?:" + "|".join(v.split()) + r")\b") for k, v in CUES.items()}
-BEFORE, DECIDES = 40, 0.5
+KEY_PREFIXES = ("sk-", "sk_", "pk_", "ghp_", "gho_", "AKIA", "ASIA", "AIza", "xox", "eyJ", "glpat-")
+PLACEHOLDERS = ("changeme", "example", "password", "placeholder", "your", "xxxx", "test", "dummy")
+# Words around a span that speak for its kind, and words that speak against it.
+CUES = {"email": "mail contact write reach", "ip": "ip host server address", "card": "card visa pay account", "phone": "phone tel call fax mobile", "secret": "auth login deploy config credentials export", "spelt": "mail contact write reach", "iban": "iban bank account transfer", "ssn": "ssn social security"}
+DOUBTS = {"email": "example sample placeholder", "ip": "version release build section chapter", "card": "order invoice tracking serial isbn", "phone": "order invoice tracking serial", "secret": "example sample dummy placeholder fake", "spelt": "example sample placeholder", "iban": "serial order model part", "ssn": "serial order model part"}
+CUES, DOUBTS = ({k: re.compile(r"(?i)\b(?:" + "|".join(v.split()) + r")\b") for k, v in table.items()} for table in (CUES, DOUBTS))
+AROUND, DECIDES = 40, 0.5
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -97,35 +102,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelt_addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses such as ``jo [at] site [dot] com``, found from each [at] so that it stays linear."""
+    out, end = [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        tail = SPELT_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if tail:
+            out.append((start, tail.end()))
+        end = tail.end() if tail else m.end()
+    return out
+
+
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, *m.span(1)) for kind, p in LOOSE.items() if HINT[kind].search(text) for m in p.finditer(text)]
+    found = [(kind, *m.span(1)) for kind, p in LOOSE.items() if HINT[kind].search(text) for m in p.finditer(text)]
+    return found + [("spelt", a, b) for a, b in spelt_addresses(text)] if "at" in text or "AT" in text or "At" in text or "aT" in text else found
 
 
 def votes(kind: str, text: str, start: int, end: int) -> str:
     """The regex, gazetteer and context labelers' votes (+, - or 0) and the length class."""
-    span, before = text[start:end], text[max(0, start - BEFORE):start]
-    digits = sum(c.isdigit() for c in span)
+    span = text[start:end]
     if kind == "email":
         shape, listed = "+" if ".." not in span else "-", "+" if span.rpartition(".")[2].lower() in DOMAINS else "-"
     elif kind == "ip":
-        address = ipaddress.ip_address(".".join(str(int(p)) for p in span.split(".")))
+        address = ipaddress.ip_address(".".join(p.lstrip("0") or "0" for p in span.split(".")))
         shape, listed = "+", "-" if address.is_loopback or address.is_unspecified else "+" if address.is_global or address.is_private else "0"
     elif kind == "card":
-        shape, listed = "+", "+" if span[0] in "3456" else "-" if len(set(span)) < 4 else "0"
+        shape, listed = "+" if len(set(span) - {" ", "-"}) >= 4 else "-", "+" if span[0] in "3456" else "0"
     elif kind == "phone":
-        shape, listed = "+" if digits >= 9 else "0", "+" if span[1] != "0" else "-"
+        shape, listed = "+" if sum(c.isdigit() for c in span) >= 9 else "0", "+" if span[1] != "0" else "-"
     elif kind == "secret":
-        mixed = len(set(span)) >= 8 and digits
-        shape, listed = "+" if mixed else "-", "+" if KEY_NAMES.search(before) else "0"
+        shape = "+" if len(set(span)) >= 8 and any(c.isdigit() for c in span) else "-"
+        listed = "+" if span.startswith(KEY_PREFIXES) else "-" if span[:16].lower().startswith(PLACEHOLDERS) else "0"
     elif kind == "iban":
-        moved = re.sub(" ", "", span)
+        moved = span.replace(" ", "")
         moved = moved[4:] + moved[:4]
         shape, listed = "+" if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 else "-", "0"
     elif kind == "ssn":
         shape, listed = "-" if span[:3] in ("000", "666") or span[0] == "9" or span[4:6] == "00" or span[7:] == "0000" else "+", "0"
     else:
-        shape, listed = "+", "+" if re.split(r"\W+", span)[-2 if span.endswith((")", "]")) else -1].lower() in DOMAINS else "-"
-    return shape + listed + ("+" if CUES[kind].search(before) else "0") + str(min(3, (end - start) // 12))
+        shape, listed = "+", "+" if re.split(r"\W+", span[-AROUND:])[-1].lower() in DOMAINS else "-"
+    before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+    good, bad = (any(cue[kind].search(x) for x in (before, after)) for cue in (CUES, DOUBTS))
+    return shape + listed + ("0" if good == bad else "+" if good else "-") + str(min(3, (end - start) // 12))
 
 
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
@@ -144,15 +167,18 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def _estimate(patterns: list[tuple[str, str, int]], rounds: int = 60) -> dict[tuple[str, str], float]:
-    """EM over (kind, votes, count): the probability that a pattern's spans are personal data."""
+    """EM over (kind, votes, count): the probability that a pattern's spans are personal data.
+
+    A labeler's reliability is how often it votes + and - on either class; a 0 is no vote and tells nothing.
+    """
     if not patterns:
         return {}
     n = np.array([p[2] for p in patterns], dtype=float)
     cast = np.array([["+-0".index(c) for c in p[1][:3]] for p in patterns])
     kind = np.array([KINDS.index(p[0]) for p in patterns])
     prior = np.full(len(KINDS), 0.7)
-    # reliability[labeler, class, vote]: labelers start out better than chance
-    reliability = np.tile(np.array([[0.15, 0.35, 0.5], [0.55, 0.1, 0.35]]), (3, 1, 1))
+    # reliability[labeler, class, vote]: labelers start out better than chance; the last column is for no vote
+    reliability = np.tile(np.array([[0.3, 0.7, 1.0], [0.85, 0.15, 1.0]]), (3, 1, 1))
     for _ in range(rounds):
         like = np.ones((len(n), 2)) * np.c_[1 - prior[kind], prior[kind]]
         for j in range(3):
@@ -163,8 +189,8 @@ def _estimate(patterns: list[tuple[str, str, int]], rounds: int = 60) -> dict[tu
             prior[k] = (7 + (n * post)[own].sum()) / (10 + n[own].sum())
         for j in range(3):
             for c, p in enumerate((1 - post, post)):
-                counts = np.bincount(cast[:, j], weights=n * p, minlength=3) + np.array([[1.5, 3.5, 5], [5.5, 1, 3.5]])[c]
-                reliability[j, c] = counts / counts.sum()
+                counts = np.bincount(cast[:, j], weights=n * p, minlength=3)[:2] + np.array([[3, 7], [8.5, 1.5]])[c]
+                reliability[j, c, :2] = counts / counts.sum()
     return {(p[0], p[1]): float(x) for p, x in zip(patterns, post)}
 
 
