@@ -5,9 +5,10 @@ resolved if their validators agree: by ETag (weak comparison) where both have
 one, else by Last-Modified; else it stays unresolved with the reason. The merged
 headers are the response's, updated by those that a 304 may carry.
 
-The as-of join is made in two levels, so a URL that holds much of all records
-spreads out: within (URL, time slice) by a window, and across slices by a window over one
-row per slice that holds the slice's last response. Payloads never move; a resolved
+The as-of join is one sort: records are dealt by range of (URL, time, responses last, id), so a
+URL that holds much of all records spreads over many ranges of about equal size. Within a
+range the last response before a revisit is found by a window; across ranges one row
+per range, its last response, is carried on. Payloads never move; a resolved
 record names the response that holds its payload.
 """
 
@@ -16,50 +17,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
+
 # Headers that a 304 may update; all others are the stored response's.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "server", "set-cookie", "vary")
 # Query parameters that don't name a resource.
-TRACKING = r"[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
+TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)="
 
 
 def canonical_url(url):
-    """Lower-case scheme and host without default port, no fragment, no tracking parameters, no trailing slash; http as https."""
-    u = F.regexp_replace(F.trim(url), r"#.*$", "")
-    u = F.regexp_replace(u, TRACKING, "")
-    u = F.regexp_replace(u, r"^([^?]*)&", "$1?")
-    head = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    tail = F.substring(u, F.length(head) + 1, F.length(u))
-    head = F.regexp_replace(F.regexp_replace(head, r"^http://", "https://"), r":(80|443)$", "")
-    return F.concat(head, F.regexp_replace(tail, r"/+(\?|$)", "$1"))
+    """Lower-case scheme and host without default port, no fragment, no tracking parameters, no trailing slash; http as https.
+
+    Only what follows the first ``?`` is a query; a path may hold ``&``. A query of which nothing is left goes with its ``?``.
+    """
+    whole = F.split_part(F.trim(url), F.lit("#"), F.lit(1))
+    base = F.split_part(whole, F.lit("?"), F.lit(1))
+    query = F.array_join(F.filter(F.split(F.substring(whole, F.length(base) + 2, F.length(whole)), "&"), lambda p: ~p.rlike(TRACKING)), "&")
+    head = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1))
+    path = F.regexp_replace(F.substring(base, F.length(head) + 1, F.length(base)), r"/+$", "")
+    head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$|^(https://.*):443$", "$1$2"), "^http://", "https://")
+    return F.concat(head, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
 def _header(headers, name):
     return F.element_at(headers, F.lit(name))
 
 
-def resolve_revisits(records: DataFrame, slice_width: int = 1_000_000) -> DataFrame:
+def _latest_before(rows: DataFrame) -> DataFrame:
+    """The revisits of rows with ``of``, the latest response of a smaller ts of their URL; canonical and ts are not null.
+
+    Within equal ts responses sort after revisits and by record_id, so the last response above a revisit is the one.
+    """
+    order = [F.col("canonical"), F.col("ts"), F.col("is_response"), F.col("record_id")]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.withColumn("is_response", F.col("kind") == "response").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "records")
+    full = F.when(F.col("is_response"), F.struct("ts", "record_id", "headers"))
+    above = Window.partitionBy("part", "canonical").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("near", F.last(full, ignorenulls=True).over(above)).filter("NOT is_response")
+    # one row a range: its first and last URL, and the last URL's last response
+    edges = dealt.groupBy("part").agg(F.min("canonical").alias("first"), F.max("canonical").alias("last"))
+    ends = dealt.join(F.broadcast(edges), "part").filter("is_response AND canonical = last").groupBy("part").agg(F.max_by(F.struct("ts", "record_id", "headers"), F.struct("ts", "record_id")).alias("end"))
+    edges = edges.join(ends, "part", "left")
+    asks = edges.select(F.col("first").alias("canonical"), "part", F.lit(False).alias("tells"), F.lit(None).cast(ends.schema["end"].dataType).alias("end"))
+    tells = edges.select(F.col("last").alias("canonical"), "part", F.lit(True).alias("tells"), "end")
+    before = Window.partitionBy("canonical").orderBy("part", "tells").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asks.union(tells).withColumn("carried", F.last("end", ignorenulls=True).over(before)).filter("NOT tells AND carried IS NOT NULL").select("part", "canonical", "carried")
+    return near.join(F.broadcast(carried), ["part", "canonical"], "left").withColumn("of", F.coalesce("near", "carried")).drop("part", "near", "carried", "is_response")  # at most a row a range
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """record_id, canonical, ts, response_id, outcome, headers for each revisit.
 
-    records: record_id, url, ts (long), kind ('response' or 'revisit'), status (int),
-    headers (map). Header names are compared in lower case; of names that repeat
-    in other cases the last counts. Full responses are those of status 200. outcome is 'resolved', 'mismatch',
-    'no validator', or 'no response' (then response_id is null and headers the revisit's).
-    Earlier means a smaller ts; of responses at one time the largest record_id counts.
-    A null url or ts is never matched; repeated rows are resolved each for itself; other columns are ignored.
+    records: record_id, url, ts, kind (response or revisit), status, headers (map). Names of
+    headers are matched in lower case; other columns are ignored. Full
+    responses have status 200; of equal times the largest record_id counts as the latest. A null
+    url or ts, or no earlier response, gives outcome 'no response'; null headers
+    are empty; repeated rows each get their row; an empty table gives none.
     """
     low = F.map_from_entries(F.transform(F.map_entries("headers"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "status", F.coalesce(low, F.expr("cast(map() AS map<string,string>)")).alias("headers"))
-    rows = rows.filter("kind = 'revisit' OR (kind = 'response' AND status = 200 AND canonical IS NOT NULL AND ts IS NOT NULL)").withColumn("slice", F.floor(F.col("ts") / slice_width))
-    full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
-    # record_id runs up within equal ts, so the last response of a smaller ts is the one of the largest record_id
-    earlier = Window.partitionBy("canonical", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = rows.withColumn("near", F.max_by(full, F.when(full.isNotNull(), F.struct("ts", "record_id"))).over(earlier)).filter("kind = 'revisit'")
-    ends = rows.filter("kind = 'response'").groupBy("canonical", "slice").agg(F.max_by(F.struct("ts", "record_id", "headers"), F.struct("ts", "record_id")).alias("end"))
-    asked = near.filter("near IS NULL AND canonical IS NOT NULL AND ts IS NOT NULL").select("canonical", "slice").distinct()
-    slices = asked.join(ends, ["canonical", "slice"], "full")
-    before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("canonical", "slice", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    found = near.join(carried, ["canonical", "slice"], "left").withColumn("of", F.coalesce("near", "carried"))
+    rows = rows.filter("kind = 'revisit' OR (kind = 'response' AND status = 200)")
+    whole = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    found = _latest_before(rows.filter(whole))
+    lost = rows.filter(~whole & (F.col("kind") == "revisit"))
+    found = found.unionByName(lost.withColumn("of", F.lit(None).cast(found.schema["of"].dataType)))
     stored = F.col("of.headers")
 
     def tag(headers):
@@ -107,10 +128,13 @@ def op6_revisit_resolution(spark, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '[?&](utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '^([^?]*)&', '\1?') AS u FROM pages),
-c AS (SELECT page_id, html, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head, substr(u, length(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS tail FROM u),
-p AS (SELECT page_id, html, regexp_replace(regexp_replace(head, '^http://', 'https://'), ':(80|443)$', '') || regexp_replace(tail, '/+(\?|$)', '\1') AS canonical,
-  '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (page_id % 28) AS day FROM c),
+WITH u AS (SELECT page_id, html, string_split(trim(url), '#')[1] AS u FROM pages),
+s AS (SELECT page_id, html, string_split(u, '?')[1] AS base, CASE WHEN contains(u, '?') THEN list_filter(string_split(substr(u, strpos(u, '?') + 1), '&'), lambda x: NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=')) ELSE [] END AS params FROM u),
+c AS (SELECT page_id, html, array_to_string(params, '&') AS query, string_split(base, '://') AS around, string_split(string_split(base, '://')[2], '/') AS parts FROM s),
+h AS (SELECT page_id, html, query, lower(around[1]) AS scheme, string_split(lower(parts[1]), ':') AS host, rtrim(array_to_string(parts[2:], '/'), '/') AS path FROM c),
+p AS (SELECT page_id, html, 'https://' || host[1] || CASE WHEN len(host) = 1 OR (scheme, host[2]) IN (('http', '80'), ('https', '443')) THEN '' ELSE ':' || host[2] END
+    || CASE WHEN path = '' THEN '' ELSE '/' || path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical,
+  '"' || substr(md5(html), 1, 16) || '"' AS tag, 'day ' || (page_id % 28) AS day FROM h),
 responses AS (SELECT canonical, page_id * 10 AS id, tag, day, 'cache-control: max-age=60' AS own, FALSE AS second FROM p WHERE html IS NOT NULL
   UNION ALL SELECT canonical, page_id * 10 + 3, tag, day, 'content-length: ' || length(html), TRUE FROM p WHERE html IS NOT NULL AND page_id % 5 = 0),
 revisits AS (SELECT canonical, page_id * 10 + 5 AS id, day, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 4 = 0 THEN '"stale"' ELSE coalesce(tag, '"none"') END AS tag FROM p),
