@@ -1,6 +1,9 @@
 import itertools
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from trafficloom.llm import toxicity as T
@@ -52,6 +55,49 @@ def test_held_out(spark, corpus):
     assert next(r.predicted for r in got if r.doc_id == 9002) == 1
 
 
+def test_terms_against_plain_counts(spark, corpus):
+    d, _, _ = corpus
+    train = T.training_rows(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    rows = train.collect()
+    assert len({r.doc_id for r in rows}) == len(rows) and {r.half for r in rows} == {0, 1}
+    seen = {}
+    for r in rows:
+        words = T.tokens(r.text)
+        for a, w, b in zip(["", *words], words, [*words[1:], ""]):
+            seen.setdefault((w, a, b, r.toxic), set()).add(r.half)
+    counts = Counter()
+    for (w, _, _, y), halves in seen.items():
+        for term in {w, "", *(w[:n] + "*" for n in T.PREFIXES if len(w) > n)}:
+            counts.update([(term, "", y), *((term, str(h), y) for h in halves)])
+    got = {r["term"]: r for r in T.term_counts(train).collect()}
+    assert got.keys() == {t for t, _, _ in counts}
+    for term, r in got.items():
+        for h in ("", "0", "1"):
+            assert (r[f"toxic{h}"], r[f"clean{h}"]) == (counts[term, h, 1], counts[term, h, 0])
+
+    def differs(term, h):
+        if term == "":
+            return True
+        core = term.rstrip("*")
+        above = next((core[:n] + "*" for n in reversed(T.PREFIXES) if n < len(core)), "")
+        a, b, x, y = counts[term, h, 1], counts[term, h, 0], counts[above, h, 1], counts[above, h, 0]
+        return 2 * sum(n * math.log(n / ((a + b) * m / (x + y))) for n, m in ((a, x), (b, y)) if n) >= T.INFORMATIVE
+
+    told = {r["term"]: [r[f"tells{h}"] for h in ("", "0", "1")] for r in T.informative_terms(T.term_counts(train)).collect()}
+    want = {t: [differs(t, h) for h in ("", "0", "1")] for t in got}
+    assert told == {t: x for t, x in want.items() if any(x)}
+    scores = T._lexicon([(t, counts[t, "", 1], counts[t, "", 0]) for t, x in told.items() if x[0]])
+    assert scores.keys() == {t for t, x in told.items() if x[0]} - {""} and min(scores["vil*"], scores["gru*"]) > 2
+
+
+def test_extreme_values_of_known_law():
+    rng = np.random.default_rng(3)
+    n = rng.integers(5, 2000, 20_000).astype(float)
+    best = (np.log(n) - 1.5 - np.log(-np.log(rng.random(len(n))))) / 2.0
+    decay, log_k = T.fit_extreme_values(best, n)
+    assert abs(decay - 2.0) < 0.1 and abs(log_k + 1.5) < 0.2
+
+
 def test_passages(spark, corpus):
     d, _, _ = corpus
     model = T.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
