@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from trafficloom.llm import chat, licenses, mixing
@@ -79,3 +80,43 @@ def test_license_scan(spark):
             assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert len(got[4]) == 2 and got[5][0].labels == "mit" and got[6][0].labels == "gpl,gpl-3.0" and got[11][0].labels == "apache-2.0" and got[8][0].labels == "" and got[12][0].n_base == 0
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def slow_labels(text):
+    """(labels, score) by definition: a template counts if from some word on enough of its pairs stand at their place or up to half its length later."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    found = [(label, 1.0) for p, label in licenses.PHRASES.items() if any(words[k:k + len(p.split())] == p.split() for k in range(len(words)))]
+    for p, label in licenses.TEMPLATES.items():
+        t = p.split()
+        pairs = [j for j in range(len(t) - 1) if not (t[j] in licenses.FUNCTION_WORDS and t[j + 1] in licenses.FUNCTION_WORDS)]
+        hits = {(k - j, j) for j in pairs for k in range(len(words) - 1) if words[k:k + 2] == t[j:j + 2]}
+        shares = [len({j for d, j in hits if start <= d <= start + len(t) // 2}) / len(pairs) for start, _ in hits]
+        found += [(label, s) for s in shares if s >= licenses.COVERAGE]
+    return ",".join(sorted({x for x, _ in found})), max((s for _, s in found), default=0.0)
+
+
+def test_diagonals_with_other_hits_between(spark):
+    bsd, mit = (next(t for t in licenses.TEMPLATES if t.startswith(x)) for x in ("redistribution", "permission"))
+    w = bsd.split()
+    texts = [" ".join(w[:5] + ["redistribution", "and"] + w[5:]), " ".join(w[:3] + ["redistribution", "and"] + w[3:8] + ["redistribution", "and"] + w[8:]),
+             mit.replace("charge", "charge hereby granted"), mit.replace("free", "hereby granted hereby granted free"), " ".join(w[:4] + w[6:]), "redistribution and " * 30, f"{bsd} and {bsd} x {mit}"]
+    rng = random.Random(2)
+    for _ in range(250):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            t = rng.choice([*licenses.TEMPLATES, *licenses.PHRASES]).split()
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(t) + 1)
+                edit = rng.random()
+                t = t[:k] + (t[k + 1:] if edit < 0.3 else [rng.choice(["x", "y"])] + t[k:] if edit < 0.6 else t[max(0, k - 2):k] + t[k:])
+            out += t + ["z"] * rng.randint(0, 3)
+        texts.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        want = slow_labels(t)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9, t
+    # an insertion breaks one pair, two insertions two
+    assert [got[i][0] for i in range(6)] == ["bsd", "bsd", "mit", "mit", "bsd", ""] and min(got[0][1], got[2][1]) > 0.9
+    spans = licenses.license_spans(df.filter("doc_id = 6")).filter("template IS NOT NULL").orderBy("first").collect()
+    assert [(r.label, r["first"], r["last"]) for r in spans] == [("bsd", 0, 13), ("bsd", 15, 28), ("mit", 30, 45)]

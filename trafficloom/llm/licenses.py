@@ -3,16 +3,17 @@
 All rolling word pairs of all texts are joined, by hash and then by the words
 themselves, to the positions of the same pairs in the templates. A hit votes for
 the diagonal (word position minus template position) of its template. Votes
-are counted per diagonal; diagonals that are neighbours in offset and place
-are merged, which bridges inserted or dropped words; and a merged span counts
-if it covers enough of its template within a span not much longer than it.
+are counted per diagonal. A diagonal is merged with its neighbours up to STRETCH times the template's
+length further on, which bridges inserted or dropped words however many other diagonals lie
+between; a merged band counts if enough of the template's pairs voted within it, and of bands that overlap
+the best is the span.
 
 The templates are the constants of this module, some 150 rows, so they are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,7 +35,7 @@ TEMPLATES = {
 }
 # Pairs made of these alone are in any prose and don't vote.
 FUNCTION_WORDS = "a and any are by for in into is may no of or out the this to under with".split()
-COVERAGE, STRETCH, DRIFT, GAP = 0.6, 1.5, 2, 4
+COVERAGE, STRETCH, SLACK = 0.6, 1.5, 1.03
 
 
 def _template_rows() -> list[tuple[str, str, bool, int, int, int, str]]:
@@ -70,13 +71,22 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = hits.select("uid", "doc_id", "n_words", "template", "label", "exact", "size", "pairs", "tpos", F.col("pos").cast("long").alias("pos"), (F.col("pos").cast("long") - F.col("tpos")).alias("diagonal"))
     keys = ["uid", "doc_id", "n_words", "template", "label", "exact", "size", "pairs"]
     votes = hits.repartition("uid").groupBy(*keys, "diagonal").agg(F.count("tpos").alias("votes"), F.expr("bit_or(shiftleft(1L, tpos))").alias("mask"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    order = Window.partitionBy("uid", "template").orderBy("low", "diagonal")
-    apart = F.col("exact") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("low") - F.lag("high").over(order) > GAP)
-    islands = votes.withColumn("opens", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(order))
-    spans = islands.groupBy(*keys, "island").agg(F.min("diagonal").alias("diagonal"), F.sum("votes").alias("votes"), F.expr("bit_count(bit_or(mask))").alias("covered"), F.min("low").alias("low"), (F.max("high") + 1).alias("high"))
-    good = F.when(F.col("exact"), F.col("votes") == F.col("pairs")).otherwise((F.col("covered") >= COVERAGE * F.col("pairs")) & (F.col("high") - F.col("low") + 1 <= STRETCH * F.col("size")))
-    keep = spans.withColumn("good", F.coalesce(good, F.lit(False)))
-    return keep.select("uid", "doc_id", "n_words", *(F.when(F.col("good"), F.col(c)).alias(c) for c in ("template", "label", "exact")), F.when(F.col("good"), F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("low"))).alias("first"), F.when(F.col("good"), F.col("high")).alias("last"), F.when(F.col("good"), F.col("covered") / F.col("pairs")).alias("coverage")).distinct()
+    # diagonals in units of a template's width, so one frame fits all; diagonals are whole numbers and widths below 16, so SLACK only takes up rounding
+    votes = votes.withColumn("at", F.col("diagonal") / F.floor((STRETCH - 1) * F.col("size")))
+    order = "PARTITION BY uid, template ORDER BY at RANGE BETWEEN"
+    band = f"OVER ({order} CURRENT ROW AND {SLACK}D FOLLOWING)"
+    merged = votes.select(*keys, "diagonal", "at", "votes", F.expr(f"bit_count(bit_or(mask) {band})").alias("covered"), F.expr(f"min(low) {band}").alias("low"), F.expr(f"max(high) {band} + 1").alias("high"))
+    good = F.coalesce(F.when(F.col("exact"), F.col("votes") == F.col("pairs")).otherwise(F.col("covered") >= COVERAGE * F.col("pairs")), F.lit(False))
+    rank = F.when(good, F.struct("covered", (F.col("low") - F.col("high")).alias("short"), (-F.col("diagonal")).alias("early")))
+    best = merged.withColumn("rank", rank).withColumn("top", F.expr(f"max(rank) OVER ({order} {SLACK}D PRECEDING AND {SLACK}D FOLLOWING)"))
+    keep = best.withColumn("good", F.col("rank").isNotNull() & (F.col("exact") | (F.col("rank") == F.col("top"))))
+
+    def of_good(value):
+        return F.when(F.col("good"), value)
+
+    spans = keep.select("uid", "doc_id", "n_words", *(of_good(F.col(c)).alias(c) for c in ("template", "label", "exact")), of_good(F.when(F.col("exact"), F.col("diagonal")).otherwise(F.col("low"))).alias("first"),
+                        of_good(F.when(F.col("exact"), F.col("diagonal") + F.col("size") - 1).otherwise(F.col("high"))).alias("last"), of_good(F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("covered") / F.col("pairs"))).alias("coverage"))
+    return spans.distinct()
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,17 +107,25 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("uid")
 
 
+def _texts(table: dict[str, str]) -> str:
+    return ", ".join(f"({text.split()}, '{text}', '{label}')" for text, label in table.items())
+
+
+#: From the definitions: phrases are looked up at every word; a template counts if, for some word d, enough of its voting pairs stand at their place after d or up to half its length further on.
 OP4_SQL = rf"""
-WITH t(template, label, exact, size, pairs, tpos, tpair) AS (VALUES {_values()}),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(range(len(w) - 1)) AS pos, w FROM d WHERE len(w) > 1),
-h AS (SELECT g.doc_id, g.pos, t.*, g.pos - t.tpos AS diagonal FROM g JOIN t ON w[pos + 1] || ' ' || w[pos + 2] = t.tpair),
-v AS (SELECT doc_id, template, label, exact, size, pairs, diagonal, count(*) AS votes, bit_or(1::BIGINT << tpos) AS mask, min(pos) AS low, max(pos) AS high FROM h GROUP BY ALL),
-o AS (SELECT *, CASE WHEN coalesce(exact OR abs(diagonal - lag(diagonal) OVER k) > {DRIFT} OR low - lag(high) OVER k > {GAP}, TRUE) THEN 1 ELSE 0 END AS opens FROM v WINDOW k AS (PARTITION BY doc_id, template ORDER BY low, diagonal)),
-i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY low, diagonal) AS island FROM o),
-s AS (SELECT doc_id, template, label, exact, size, pairs, island, min(diagonal) AS diagonal, sum(votes) AS votes, bit_count(bit_or(mask)) AS covered, min(low) AS low, max(high) + 1 AS high FROM i GROUP BY ALL),
-q AS (SELECT * FROM s WHERE CASE WHEN exact THEN votes = pairs ELSE covered >= {COVERAGE} * pairs AND high - low + 1 <= {STRETCH} * size END)
-SELECT d.doc_id, len(any_value(w))::BIGINT AS n_words, count(*) FILTER (exact) AS n_base, min(diagonal) FILTER (exact)::BIGINT AS first_word, max(diagonal) FILTER (exact)::BIGINT AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(covered::DOUBLE / pairs), 0) AS score
-FROM d LEFT JOIN q ON d.doc_id = q.doc_id GROUP BY d.doc_id
+WITH phrases(p, template, label) AS (VALUES {_texts(PHRASES)}), wordings(p, template, label) AS (VALUES {_texts(TEMPLATES)}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+words AS (SELECT row, w, unnest(range(len(w))) AS i FROM d),
+base AS (SELECT row, i, label FROM words JOIN phrases ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
+places AS (SELECT p, template, label, unnest(range(len(p) - 1)) AS j FROM wordings),
+voting AS (SELECT template, label, len(p) // 2 AS reach, j, p[j + 1] AS a, p[j + 2] AS b FROM places WHERE NOT (list_contains({FUNCTION_WORDS}, p[j + 1]) AND list_contains({FUNCTION_WORDS}, p[j + 2]))),
+hits AS (SELECT row, template, label, reach, i, j FROM words JOIN voting ON w[i + 1] = a AND w[i + 2] = b),
+found AS (SELECT x.row, x.template, x.label, x.i - x.j AS d, count(DISTINCT y.j) AS n FROM (SELECT DISTINCT ON (row, template, i - j) * FROM hits) x
+  JOIN hits y ON x.row = y.row AND x.template = y.template AND (y.i - y.j) BETWEEN x.i - x.j AND x.i - x.j + x.reach GROUP BY ALL),
+good AS (SELECT f.row, f.label, f.n / v.n AS share FROM found f JOIN (SELECT template, count(*) AS n FROM voting GROUP BY template) v USING (template) WHERE f.n >= {COVERAGE} * v.n),
+every AS (SELECT row, label, 1.0::DOUBLE AS share FROM base UNION ALL SELECT * FROM good),
+b AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY row),
+e AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM every GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN b USING (row) LEFT JOIN e USING (row)
 """
