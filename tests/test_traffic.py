@@ -223,6 +223,90 @@ def test_captures(spark, tmp_path):
         captures.read_captures(spark, str(tmp_path), on_error="fail").collect()
 
 
+def segment(src, dst, sport, dport, seq, payload=b""):
+    f = frame(src, dst, sport, dport, payload)
+    return f[:38] + struct.pack(">I", seq) + f[42:]
+
+
+def test_certificates_over_segments(spark, tmp_path):
+    """In order, out of order, sent twice with an overlap, over a wrap of sequence numbers, broken off, over splits, and none at all."""
+    chain = tls(77 << 40)
+    hello = b"\x16\x03\x03\x00\x08\x02\x00\x00\x04abcd"
+    whole = hello + chain
+    a, b, c = whole[:20], whole[20:41], whole[41:]
+    server = ("1.1.1.1", "10.0.0.1", 443)
+    out, t = [], 0.0
+
+    def send(port, parts):
+        nonlocal t
+        for seq, payload in parts:
+            t += 0.25
+            out.append((t, segment(*server, port, seq, payload)))
+
+    send(1000, [(500, a), (520, b), (541, c), (900, b"\x17\x03\x03\x00\x01x")])
+    send(1001, [(500, a), (541, c), (520, b)])
+    send(1002, [(500, a), (500, a), (510, whole[10:41]), (541, c)])
+    send(1003, [(2**32 - 7, a), (13, b), (34, c)])
+    send(1004, [(500, a), (541, c)])
+    send(1005, [(500, a[:1]), (501, b"plain")])
+    send(1008, [(500, whole + b"\x14\x03\x03\x00\x01\x01")])
+    send(1006, [(500, hello + b"\x14\x03\x03\x00\x01\x01")])
+    out += [(t + 200 + k, frame("10.0.0.5", "8.8.8.8", 4000 + k % 3, 53, b"x" * 90, 17)) for k in range(300)]
+    t += 600
+    send(1007, [(500, a), (520, b)])
+    out += [(t + k / 10, frame("10.0.0.6", "8.8.4.4", 4000 + k % 5, 53, b"y" * 90, 17)) for k in range(100)]
+    t += 11
+    send(1007, [(541, c)])
+    write_pcap(tmp_path / "x.pcap", out)
+    every = {n: sorted(map(tuple, captures.read_captures(spark, str(tmp_path), split_bytes=n).collect())) for n in (1 << 30, 1000)}
+    assert every[1 << 30] == every[1000] and len(every[1000]) == len(out)
+    by_port = {}
+    for r in captures.read_captures(spark, str(tmp_path), split_bytes=5000).collect():
+        by_port.setdefault(r.port_dst, set()).add(r.cert)
+    assert {p: {x for x in by_port[p] if x} for p in range(1000, 1009)} == {p: {str(77 << 40)} if p in (1000, 1001, 1002, 1003, 1007, 1008) else set() for p in range(1000, 1009)}
+    got = captures.read_captures(spark, str(tmp_path), through_spark=True).collect()
+    assert sorted(map(tuple, got)) == every[1000]
+
+
+def test_capture_blocks_and_headers(spark, tmp_path):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+
+    section = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    ethernet, raw = block(1, struct.pack("<HHI", 1, 0, 0)), block(1, struct.pack("<HHIHHB3x", 101, 0, 0, 9, 1, 9) + struct.pack("<HH", 0, 0))
+    f = frame("10.0.0.9", "1.1.1.1", 40000, 443)
+    six = struct.pack(">IHBB", 6 << 28, 16 + 8 + 8 + 8 + 5, 0, 64) + b"\xfe\x80" + b"\0" * 13 + b"\x01" + b"\xfe\x80" + b"\0" * 13 + b"\x02"
+    six += bytes([43, 0]) + b"\0" * 6 + bytes([44, 0]) + b"\0" * 6 + bytes([60, 0]) + b"\0" * 6 + bytes([17, 0]) + b"\0" * 6 + struct.pack(">HHHH", 9, 10, 13, 0) + b"hello"
+    later = six[:40] + six[40:48] + bytes([44, 0]) + b"\0" * 6 + bytes([17, 0, 0, 8]) + b"\0" * 4 + b"data"
+    old = block(2, struct.pack("<HHIIII", 0, 0, 0, 3_000_000, len(f), len(f)) + f)
+    simple = block(3, struct.pack("<I", len(f)) + f)
+    new = block(6, struct.pack("<IIIII", 1, *divmod(5_000_000_001, 2**32), len(six), len(six)) + six)
+    rest = block(6, struct.pack("<IIIII", 1, 0, 7, len(later), len(later)) + later)
+    (tmp_path / "a.pcapng").write_bytes(section + ethernet + simple + old + simple + raw + new + block(99, b"unknown") + rest)
+    cut = section + ethernet + old + old
+    (tmp_path / "b.pcapng").write_bytes(cut[:-8])
+    (tmp_path / "c.pcapng").write_bytes(section + new)
+    for n in (1 << 30, 1):
+        got = captures.read_captures(spark, str(tmp_path), split_bytes=n).orderBy("file", "pkt_no").collect()
+        assert [(r.file[-8:], r.proto, r.pkt_no, r.ts, r.len, r.ip_src, r.port_dst) for r in got] == [
+            ("a.pcapng", "tcp", 0, 0.0, 40, "10.0.0.9", 443), ("a.pcapng", "tcp", 1, 3.0, 40, "10.0.0.9", 443), ("a.pcapng", "tcp", 2, 3.0, 40, "10.0.0.9", 443), ("a.pcapng", "udp", 3, 5.000000001, 85, "fe80::1", 10), ("b.pcapng", "tcp", 0, 3.0, 40, "10.0.0.9", 443)]
+    assert captures.transport(1, f[:30]) is None and captures.transport(101, six[:50]) is None
+
+
+def test_either_kind_of_file(spark, tmp_path):
+    write_pcap(tmp_path / "a.pcap", [(10.5, frame("10.0.0.1", "1.1.1.1", 50000, 443))])
+    (tmp_path / "b.tsv").write_text("1.5\t0\t\t6\t1.1.1.1\t1000\t\t2.2.2.2\t443\t\t60\n\n2.5\t0\t\t6\t1.1.1.1\t1000\t\t2.2.2.2\t443\t\t61\n")
+    got = captures.read_packets(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [(r.ts, r.len, r.cert) for r in got] == [(1.5, 60, None), (2.5, 61, None), (10.5, 40, None)] and got[0].pkt_no < got[1].pkt_no
+    assert captures.read_packets(spark, str(tmp_path / "b.tsv"), "rows").count() == 2 and captures.read_packets(spark, str(tmp_path / "a.pcap"), "captures").count() == 1
+    with pytest.raises(ValueError):
+        captures.read_packets(spark, str(tmp_path), "other")
+    assert captures.export_fields("TShark (Wireshark) 2.6.10 (Git)")[-1] == "ssl.handshake.certificate" and captures.export_fields("TShark 4.0.1 (x)")[-1] == "tls.handshake.certificate"
+    with pytest.raises(ValueError):
+        captures.export_fields("something else")
+
+
 def test_rows(spark):
     hexed = certificate(77 + (1 << 65)).hex(":")
     lines = ["1.5\t0\t\t6\t1.1.1.1,9.9.9.9\t1000\t\t2.2.2.2\t443\t\t60,40\t" + hexed + ",aa", "", "2.5\t\t3\t17\t1.1.1.1\t\t5\t2.2.2.2\t\t53\t9", "3.5\t1\t\t6\t\t1\t\t\t2\t\t"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import flows
 from .operators.model import TrafficModel
-from .sources.captures import read_captures
+from .sources.captures import read_packets
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,12 +41,13 @@ def check(p: argparse.ArgumentParser, args: argparse.Namespace) -> None:
 
 def load_flows(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Flows of all captures and flow files; numbers of later sources follow those of earlier ones."""
-    parts = [flows.assemble_flows(read_captures(spark, list(args.pcaps)))] if args.pcaps else []
+    parts = [flows.assemble_flows(read_packets(spark, list(args.pcaps)))] if args.pcaps else []
     parts += [spark.read.parquet(f) for f in args.read or []]
     out, base = None, 0
     for part in parts:
         part = part.withColumn("flow_idx", F.col("flow_idx") + base)
-        base = (part.agg(F.max("flow_idx")).first()[0] or base - 1) + 1
+        last = part.agg(F.max("flow_idx")).first()[0]
+        base = base if last is None else last + 1
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -57,7 +58,8 @@ def split_name(path: str, part: str) -> str:
 
 
 def show(model: DataFrame) -> None:
-    for r in model.orderBy("label", "fp_id").toLocalIterator():
+    """Each label's fingerprints, the smallest first."""
+    for r in model.orderBy("label", F.size("keys"), "n_flows", "fp_id").toLocalIterator():
         print(f"{r.label}: {r.fp_id[:16]} ({len(r['keys'])} keys, {r.n_flows} flows)")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import destination_key
+from ..functions.keys import destination_key, destinations_of
 from ..plans.components import connected_components
 from ..plans.shared import materialize
+from ..plans.skew import skewed_left
 
 
 def key_destinations(flows: DataFrame) -> DataFrame:
@@ -27,12 +28,11 @@ def key_destinations(flows: DataFrame) -> DataFrame:
 
 
 def lookup_destinations(flows: DataFrame, keys: DataFrame) -> DataFrame:
-    """flows with dest_id: by endpoint first, then by certificate, else -1."""
-    by_end = keys.select(F.col("batch").alias("b1"), F.col("key").alias("k1"), F.col("dest_id").alias("by_end"))
-    by_cert = keys.select(F.col("batch").alias("b2"), F.col("key").alias("k2"), F.col("dest_id").alias("by_cert"))
-    found = flows.join(by_end, (F.col("batch") == F.col("b1")) & (destination_key() == F.col("k1")), "left")
-    found = found.join(by_cert, (F.col("batch") == F.col("b2")) & (F.concat(F.lit("c|"), F.col("cert")) == F.col("k2")), "left")
-    return found.withColumn("dest_id", F.coalesce("by_end", "by_cert", F.lit(-1))).drop("b1", "k1", "b2", "k2", "by_end", "by_cert")
+    """flows with dest_id: by endpoint first, then by certificate, else -1. flow_idx names a flow."""
+    rows = flows.select("flow_idx", "batch", destination_key().alias("d"), F.concat(F.lit("c|"), F.col("cert")).alias("c"))
+    found = skewed_left(rows, keys.select("batch", F.col("key").alias("d"), F.col("dest_id").alias("by_end")), ["batch", "d"])
+    found = skewed_left(found, keys.select("batch", F.col("key").alias("c"), F.col("dest_id").alias("by_cert")), ["batch", "c"])
+    return flows.join(found.select("flow_idx", F.coalesce("by_end", "by_cert", F.lit(-1)).alias("dest_id")), "flow_idx").select(*flows.columns, "dest_id")
 
 
 def destination_state(clustered: DataFrame) -> DataFrame:
@@ -60,3 +60,20 @@ def plot_sizes(clustered: DataFrame) -> DataFrame:
     return destination_descriptions(clustered).join(n, ["batch", "dest_id"]).withColumn("size", 20 * F.pow("n", F.lit(0.7)))
 
 
+def destination_text() -> Column:
+    """A destination in words, from the columns of destination_state: its id, flows, endpoints and labels."""
+    ends = F.transform(destinations_of(F.col("keys")), lambda d: F.format_string("('%s', %d)", d["ip"], d["port"]))
+    labels = F.transform(F.map_entries("labels"), lambda e: F.format_string("'%s': %d", e["key"], e["value"]))
+    # fixed value: the form of a destination's line
+    return F.format_string("NetworkDestination [%4d] [size=%4d] [IPs=[%s]] [labels={%s}]", F.col("dest_id"), F.col("n_flows"), F.array_join(ends, ", "), F.array_join(labels, ", "))
+
+
+def save(clustered: DataFrame, path: str) -> None:
+    """Write clustered flows as Parquet; load() gives them back with the destinations of their keys."""
+    clustered.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(flows with dest_id, key_destinations) of saved clusters."""
+    clustered = spark.read.parquet(path)
+    return clustered, key_destinations(clustered)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import NO_CERT, certificate_key, destination_key, fingerprint_id, jaccard_of_counts, sizes_can_reach
 from ..plans.components import connected_components
+from ..plans.ranking import nearest_values
 from ..plans.shared import materialize
+from ..plans.skew import skewed_left
 from . import clusters, flows, graph
 
 EMPTY = "cast(array() as array<string>)"
@@ -31,39 +33,26 @@ def largest_per_key(fps: DataFrame) -> DataFrame:
 
 
 def assign(batched: DataFrame, fps: DataFrame) -> DataFrame:
-    """flow_idx, batch, time_start, fp_id (null if none): by endpoint, else by certificate or its absence.
-
-    The key for no certificate holds a great share of flows, but has one row a batch: those
-    rows are joined on the batch alone, endpoints and certificates on their keys.
-    """
-    best = largest_per_key(fps)
+    """flow_idx, batch, time_start, fp_id (null if none): by endpoint, else by certificate or its absence."""
+    best = materialize(largest_per_key(fps), "largest")
     rows = batched.select("flow_idx", "batch", "time_start", destination_key().alias("d"), certificate_key().alias("c"))
-    by_end = best.select("batch", F.col("key").alias("d"), F.col("fp_id").alias("e"))
-    by_cert = best.filter(F.col("key") != NO_CERT).select("batch", F.col("key").alias("c"), F.col("fp_id").alias("f"))
-    by_none = best.filter(F.col("key") == NO_CERT).select("batch", F.col("fp_id").alias("g"))
-    found = rows.join(by_end, ["batch", "d"], "left").join(by_cert, ["batch", "c"], "left").join(by_none, "batch", "left")
-    return found.select("flow_idx", "batch", "time_start", F.coalesce("e", "f", F.when(F.col("c") == NO_CERT, F.col("g"))).alias("fp_id"))
+    found = skewed_left(rows, best.select("batch", F.col("key").alias("d"), F.col("fp_id").alias("e")), ["batch", "d"])
+    found = skewed_left(found, best.select("batch", F.col("key").alias("c"), F.col("fp_id").alias("f")), ["batch", "c"])
+    return found.select("flow_idx", "batch", "time_start", F.coalesce("e", "f").alias("fp_id"))
 
 
 def fill_nearest(rows: DataFrame, over_all: bool = False) -> DataFrame:
     """Unassigned flows take the fingerprint of the nearest assigned flow in time.
 
     The earlier neighbour must be strictly nearer; without any in scope they stay
-    unassigned. Scope is the batch; over_all carries the last and first assigned flow of each
-    batch across batches (one row a batch), so no task ever sorts the whole table.
+    unassigned. Scope is the batch, or with over_all the whole table; either is dealt by range of time, so no task
+    sorts a scope.
     """
-    w = Window.partitionBy("batch").orderBy("time_start", "flow_idx")
     mine = F.when(F.col("fp_id").isNotNull(), F.struct("time_start", "fp_id"))
-    out = rows.withColumn("b", F.last(mine, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("a", F.first(mine, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    if over_all:
-        at = F.struct("time_start", "flow_idx")
-        ends = rows.groupBy("batch").agg(F.max_by(mine, F.when(F.col("fp_id").isNotNull(), at)).alias("last"), F.min_by(mine, F.when(F.col("fp_id").isNotNull(), at)).alias("first"))
-        v = Window.orderBy("batch")
-        ends = ends.select("batch", F.last("last", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("cb"), F.first("first", ignorenulls=True).over(v.rowsBetween(1, Window.unboundedFollowing)).alias("ca"))
-        out = out.join(ends, "batch").withColumn("b", F.coalesce("b", "cb")).withColumn("a", F.coalesce("a", "ca")).drop("cb", "ca")
+    out = nearest_values(rows, mine, [] if over_all else ["batch"], ["time_start", "flow_idx"])
     t, far = F.col("time_start"), F.lit(float("inf"))
-    before = F.coalesce(F.abs(t - F.col("b.time_start")), far) < F.coalesce(F.abs(t - F.col("a.time_start")), far)
-    return out.withColumn("fp_id", F.coalesce("fp_id", F.when(before, F.col("b.fp_id")).otherwise(F.col("a.fp_id")))).drop("a", "b")
+    earlier = F.coalesce(F.abs(t - F.col("before.time_start")), far) < F.coalesce(F.abs(t - F.col("after.time_start")), far)
+    return out.withColumn("fp_id", F.coalesce("fp_id", F.when(earlier, F.col("before.fp_id")).otherwise(F.col("after.fp_id")))).drop("before", "after")
 
 
 def shared_keys(left: DataFrame, right: DataFrame, scope: list[str]) -> DataFrame:
@@ -277,11 +266,13 @@ class Tables:
 def generate(rows: DataFrame, batch: float = 300.0, window: float = 30.0, correlation: float = 0.1, similarity: float = 0.9) -> DataFrame:
     """flow_idx, fp_id, keys, n_flows of each flow; keys are empty for flows without a fingerprint.
 
-    Per batch: assign, fill, merge; then over all batches: merge, fill.
+    Per batch: assign, fill, merge; then over all batches: merge, fill. Only fingerprints that some flow
+    was given take part in the merges.
     """
     t = Tables(rows, batch, window, correlation)
-    filled = fill_nearest(t.assigned)
-    local = materialize(merge_map(t.fps, similarity, ["batch"]), "merged")
+    filled = materialize(fill_nearest(t.assigned), "filled")
+    held = t.fps.join(filled.select("batch", "fp_id").distinct(), ["batch", "fp_id"], "left_semi")
+    local = materialize(merge_map(held, similarity, ["batch"]), "merged")
     first = filled.join(local.select("batch", "fp_id", "merged_id"), ["batch", "fp_id"], "left").select("flow_idx", "batch", "time_start", F.col("merged_id").alias("fp_id"))
     distinct = local.groupBy(F.col("merged_id").alias("fp_id")).agg(F.first("keys").alias("keys"), F.max("n_flows").alias("n_flows"))
     overall = materialize(merge_map(distinct, similarity, []), "merged")

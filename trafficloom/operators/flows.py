@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import global_rank
+from ..functions.keys import clock
+from ..plans.ranking import global_rank, rank_within
 
 FLOW = ["file", "proto", "stream"]
+PRIME = 2**31 - 1
 
 
 def oriented_packets(packets: DataFrame) -> DataFrame:
@@ -105,13 +107,27 @@ def time_batches(flows: DataFrame, width: float = 300.0) -> DataFrame:
 
 def sequential_split(flows: DataFrame, train_ratio: float, label: str = "label", order: str = "flow_idx") -> DataFrame:
     """flows with is_train: the first int(n * ratio) of each label, by position."""
-    w = Window.partitionBy(label)
-    nth = F.row_number().over(w.orderBy(order))
-    return flows.withColumn("is_train", nth <= F.floor(F.count(F.lit(1)).over(w) * F.lit(float(train_ratio))))
+    ranked = rank_within(flows, "__nth", "__of", label, [F.col(order)])
+    return ranked.withColumn("is_train", F.col("__nth") <= F.floor(F.col("__of") * F.lit(float(train_ratio)))).select(*flows.columns, "is_train")
+
+
+def shuffled(x: Column, seed: int) -> Column:
+    """A number below 2^31 - 1 that scatters positions: two steps of a multiplicative generator with a shift between."""
+    def step(v, factor):
+        return F.pmod(v * factor + seed, F.lit(PRIME))
+
+    first = step(F.pmod(x, F.lit(PRIME)), 48271)
+    return step(first.bitwiseXOR(F.shiftright(first, 15)), 69621)
 
 
 def random_split(flows: DataFrame, test_size: float, seed: int = 42, order: str = "flow_idx") -> DataFrame:
-    """flows with is_train: the ceil(test_size * n) rows of the smallest hashes are the test set."""
-    shuffled = global_rank(flows.withColumn("__h", F.xxhash64(order, F.lit(seed))), "__nth", [F.col("__h"), F.col(order)])
+    """flows with is_train: the ceil(test_size * n) rows that come first when shuffled are the test set."""
+    ranked = global_rank(flows.withColumn("__h", shuffled(F.col(order).cast("long"), seed)), "__nth", [F.col("__h"), F.col(order)])
     n = flows.count()
-    return shuffled.withColumn("is_train", F.col("__nth") >= math.ceil(test_size * n)).drop("__h", "__nth")
+    return ranked.withColumn("is_train", F.col("__nth") >= math.ceil(test_size * n)).drop("__h", "__nth")
+
+
+def flow_text() -> Column:
+    """A flow in words: its times, ends and number of packets."""
+    # fixed value: the form of a flow's line
+    return F.format_string("[Time %s to %s] %15s:%-5d <-> %15s:%-5d [Length %d]", clock(F.col("time_start")), clock(F.col("time_end")), F.col("src"), F.col("sport"), F.col("dst"), F.col("dport"), F.col("n_packets"))

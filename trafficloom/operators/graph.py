@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import time_bin
+from ..plans.shared import text_file
 
 
 def activity(clustered: DataFrame, window: float = 30.0) -> DataFrame:
@@ -108,16 +109,34 @@ def clique_destinations(cliques: DataFrame, nodes: DataFrame) -> DataFrame:
     return member.groupBy("batch", "clique").agg(F.array_sort(F.flatten(F.collect_list("dest_ids"))).alias("dest_ids"))
 
 
+def _label():
+    """Export label from columns keys, labels and window: JSON of certs, ips, labels and window, keys in order."""
+    def tagged(tag):
+        return F.transform(F.filter("keys", lambda k: k.startswith(tag)), lambda k: F.substring(k, 3, 2147483647))
+
+    return F.to_json(F.struct(tagged("c|").alias("certs"), tagged("d|").alias("ips"), "labels", "window"))
+
+
 def node_labels(nodes: DataFrame, state: DataFrame) -> DataFrame:
-    """Each node's export label: JSON of certs, ips, labels and window, keys in order."""
+    """(batch, node_id, label): what all destinations of a node of the dense graph hold together."""
     member = nodes.select("batch", "node_id", "bins", F.explode("dest_ids").alias("dest_id")).join(state, ["batch", "dest_id"])
     counts = member.select("batch", "node_id", F.explode("labels").alias("label", "n")).groupBy("batch", "node_id", "label").agg(F.sum("n").alias("n")).groupBy("batch", "node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
     keys = member.groupBy("batch", "node_id").agg(F.first("bins").alias("window"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+    return keys.join(counts, ["batch", "node_id"]).select("batch", "node_id", _label().alias("label"))
+
+
+def destination_labels(nodes: DataFrame, state: DataFrame) -> DataFrame:
+    """(batch, node_id, label) for the unpacked graph: a node for each destination, with its own keys and labels and its window."""
+    member = nodes.select("batch", F.col("bins").alias("window"), F.explode("dest_ids").alias("dest_id")).join(state, ["batch", "dest_id"])
+    return member.select("batch", F.col("dest_id").alias("node_id"), _label().alias("label"))
 
-    def tagged(tag):
-        return F.transform(F.filter("keys", lambda k: k.startswith(tag)), lambda k: F.substring(k, 3, 2147483647))
 
-    return keys.join(counts, ["batch", "node_id"]).select("batch", "node_id", F.to_json(F.struct(tagged("c|").alias("certs"), tagged("d|").alias("ips"), "labels", "window")).alias("label"))
+def export(nodes: DataFrame, edges: DataFrame, state: DataFrame, path: str, dense: bool = True, form: str = "gexf") -> None:
+    """Write the graph of a batch: its nodes as they are, or unpacked with a node for each destination."""
+    if dense:
+        return write_graph(node_labels(nodes, state), edges, path, form)
+    loose = unpack(nodes, edges).withColumnRenamed("a", "u").withColumnRenamed("b", "v")
+    return write_graph(destination_labels(nodes, state), loose, path, form)
 
 
 def write_graph(labels: DataFrame, edges: DataFrame, path: str, form: str = "gexf") -> None:
@@ -129,7 +148,7 @@ def write_graph(labels: DataFrame, edges: DataFrame, path: str, form: str = "gex
 
         warnings.warn(f"unknown format {form!r}, writing gexf", stacklevel=2)
         form = "gexf"
-    with open(path, "w") as out:
+    with text_file(labels.sparkSession, path) as out:
         if form == "gexf":
             out.write('<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="undirected" mode="static"><nodes>\n')
             out.writelines(f'<node id="{r.node_id}" label={quoteattr(r.label)}/>\n' for r in labels.orderBy("node_id").toLocalIterator())

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import certificates_of, destinations_of, fingerprint_id
+from ..plans.shared import materialize, text_file
 from . import fingerprints as fp
 
+#: How the first line of a model file ends; a line for each pair follows.
+HEAD_END = ', "fingerprints": ['
+
 
 def label_modes(labelled: DataFrame) -> DataFrame:
     """fp_id, keys, n_flows, label, ord: each fingerprint's most frequent label, the first seen on ties."""
@@ -79,7 +83,7 @@ class TrafficModel:
     def update(self, flows: DataFrame, labelled: bool = True) -> TrafficModel:
         """Adds flows (with a label column) to what the model has seen; without labels all have label 1."""
         made = self.fingerprint(flows)
-        made = made.join(flows.select("flow_idx", "label"), "flow_idx") if labelled else made.withColumn("label", F.lit("1"))
+        made = materialize(made.join(flows.select("flow_idx", "label"), "flow_idx") if labelled else made.withColumn("label", F.lit("1")), "seen")
         self.counts = made if self.counts is None else self.counts.unionByName(made)
         return self
 
@@ -97,7 +101,7 @@ class TrafficModel:
         return predict(fps, self.model, default)
 
     def fit_predict(self, flows: DataFrame) -> DataFrame:
-        return self.fit(flows).predict(self.fingerprint(flows))
+        return self.fit(flows).predict(self.counts.select("flow_idx", "fp_id", "keys", "n_flows"))
 
     def recognize(self, fps: DataFrame) -> DataFrame:
         return recognize(fps, self.model)
@@ -106,7 +110,7 @@ class TrafficModel:
         return detect(fps, self.model, threshold, self.threshold)
 
     def save(self, path: str, fps: DataFrame | None = None) -> None:
-        """One JSON file: parameters and fingerprints; explicit fingerprints without a label get the file's name.
+        """One JSON file, with a line for each pair: parameters and fingerprints; explicit fingerprints without a label get the file's name.
 
         Pairs pass the driver one by one; a model has one row per distinct fingerprint.
         """
@@ -117,31 +121,54 @@ class TrafficModel:
             known = known.withColumn("label", F.coalesce("label", F.lit(path)))
         if known is None:
             raise ValueError("there is nothing to save")
-        with open(path, "w") as out:
-            out.write(json.dumps({n: getattr(self, n) for n in self.NAMES})[:-1] + ', "fingerprints": [')
+        with text_file(known.sparkSession, path) as out:
+            out.write(json.dumps({n: getattr(self, n) for n in self.NAMES})[:-1] + HEAD_END)
             for i, r in enumerate(encoded(known).orderBy("fp_id").toLocalIterator()):
                 body = json.loads(json.loads(r.pair)[0])
                 body["certificates"] = [int(c) if c.isdigit() else c for c in body["certificates"]]
                 body["destinations"] = [[ip, int(port)] for ip, port in body["destinations"]]
-                out.write((", " if i else "") + json.dumps([body, r.label], sort_keys=True))
-            out.write("]}\n")
+                out.write((",\n" if i else "\n") + json.dumps([body, r.label], sort_keys=True))
+            out.write("\n]}\n")
 
     def load(self, spark, *paths: str, parameters: bool = False, store: bool = True) -> DataFrame:
-        """Fingerprints of model files with the union of their labels; store makes them the model's."""
-        schema = ", ".join(f"{n} double" for n in self.NAMES) + ", fingerprints array<array<string>>"
-        files = spark.read.schema(schema).option("multiLine", True).json(list(paths))
+        """Fingerprints of model files with the union of their labels; store makes them the model's.
+
+        Files that save() wrote are read by lines, so a large one splits; others as one JSON value each.
+        """
+        names = ", ".join(f"{n} double" for n in self.NAMES)
+        pairs, settings = None, {}
+        for path in paths:
+            first = spark.read.text(path).first()
+            if first and first.value.endswith(HEAD_END):
+                lines = spark.read.text(path).filter(F.col("value").startswith("["))
+                found, settings = lines.select(F.from_json(F.rtrim("value", F.lit(",")), "array<string>").alias("pair")), json.loads(first.value + "]}")
+            else:
+                whole = spark.read.schema(names + ", fingerprints array<array<string>>").option("multiLine", True).json(path)
+                found = whole.select(F.explode("fingerprints").alias("pair"))
+                settings = whole.select(*self.NAMES).first().asDict() if parameters else {}
+            pairs = found if pairs is None else pairs.union(found)
         if parameters:
-            last = files.select(*self.NAMES).first()
             for n in self.NAMES:
-                if last[n] is not None:
-                    setattr(self, n, last[n])
-        out = decoded(files.select(F.explode("fingerprints").alias("pair")))
+                if settings.get(n) is not None:
+                    setattr(self, n, settings[n])
+        out = decoded(pairs)
         if store:
             rows = out.select("fp_id", "keys", "n_flows", F.explode("labels").alias("label")).withColumn("flow_idx", F.lit(0).cast("long"))
             self.counts = rows.select("flow_idx", "fp_id", "keys", "n_flows", "label") if self.counts is None else self.counts.unionByName(rows)
         return out
 
 
+def by_label(model: DataFrame) -> DataFrame:
+    """label and its fingerprints' ids, in order of size, then flows, then id."""
+    return model.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.size("keys").alias("n"), "n_flows", "fp_id"))), lambda x: x["fp_id"]).alias("fp_ids"))
+
+
+def fingerprint_text() -> Column:
+    """A fingerprint in words: the start of its id and its number of keys."""
+    # fixed value: the form of a fingerprint's line
+    return F.format_string("Fingerprint(0x%s) [size=%4d]", F.substring("fp_id", 1, 12), F.size("keys"))
+
+
 def classification_report(judged: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Per label and overall (accuracy, macro avg, weighted avg): precision, recall, f1, support; 0 on division by zero."""
     pairs = judged.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))

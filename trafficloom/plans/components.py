@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating star contraction.
 
 Every round is two equi-joins with map-side combined minima; no adjacency list
-is ever collected, so a hub with any number of neighbours is just many rows.
+is ever collected, and the minima of hubs are broadcast, so the rows of a hub with any number of neighbours stay spread.
 """
 
 from __future__ import annotations
@@ -10,21 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, release
+from .skew import skewed_lookup
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour, itself included."""
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.filter("v > u").join(_minima(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return skewed_lookup(both.filter("v > u"), low, "u", "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = skewed_lookup(edges, low, "u", "n", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = materialize(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     seen = _digest(now)
     while seen[0]:
-        after = materialize(_small_star(_large_star(now)), "edges")
+        # a large star has at most as many edges as there were
+        after = materialize(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
         found = _digest(after)
         release(now)
         now = after

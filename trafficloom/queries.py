@@ -6,12 +6,15 @@ the 10:1 ratio of the library's defaults on that time scale.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions.keys import certificate_key, clock, destination_key, fingerprint_id, jaccard, union_keys
 from .operators import browser, clusters, fingerprints, flows, graph, model
-from .plans.shared import materialize
-from .sources.adapter import PACKETS_SQL, event_packets
+from .plans.shared import materialize, shared_dir
+from .sources import captures
+from .sources.adapter import PACKETS_SQL, event_packets, write_captures
 
 BATCH, WINDOW, CORRELATION, SIMILARITY = 3600.0, 360.0, 0.1, 0.9
 
@@ -46,6 +49,16 @@ def packets(spark, d):
     return event_packets(spark, d).drop("file")
 
 
+def packets_from_captures(spark, d):
+    """The packets after a way through capture files."""
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    write_captures(event_packets(spark, d), folder)
+    found = captures.read_captures(spark, folder, split_bytes=1 << 20)
+    return found.withColumn("file", F.regexp_extract("file", "([^/]*).pcap$", 1)).drop("stream")
+
+
 def packet_filter(spark, d):
     return event_packets(spark, d).filter("proto = 'tcp' AND len > 700 AND cert IS NOT NULL").select("pkt_no", "ts", "len", "ip_src", "cert")
 
@@ -85,7 +98,7 @@ def cluster_summary(spark, d):
 
 
 def cluster_plot_sizes(spark, d):
-    return clusters.plot_sizes(_tables(spark, d).clustered)
+    return clusters.plot_sizes(_tables(spark, d).clustered).withColumn("size", F.round("size", 6))
 
 
 def activity_bins(spark, d):
@@ -203,6 +216,27 @@ def graph_export_nodes(spark, d):
     return graph.node_labels(t.nodes, t.state)
 
 
+def graph_export_destinations(spark, d):
+    t = _tables(spark, d)
+    return graph.destination_labels(t.nodes, t.state)
+
+
+def text_forms(spark, d):
+    """Flows, destinations and fingerprints as lines of text."""
+    t = _tables(spark, d)
+    lines = t.clustered.select(flows.flow_text().alias("line")).union(t.state.select(clusters.destination_text()))
+    return lines.union(_users(spark, d).select(model.fingerprint_text()))
+
+
+def fingerprints_by_label(spark, d):
+    return model.by_label(_users(spark, d)).select("label", _text("fp_ids"))
+
+
+def browser_smoothing(spark, d):
+    f = _flows(spark, d).withColumn("prediction", F.when(F.col("bytes_out") % 200 == 7, 1).otherwise(-1))
+    return browser.smooth(f, 300, 120)
+
+
 def _whole(spark, d):
     f = _flows(spark, d).withColumn("batch", F.lit(1))
     return clusters.lookup_destinations(f, clusters.key_destinations(f))
@@ -235,10 +269,10 @@ def random_split(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    packets, packet_filter, flow_assembly, flow_bytes, flow_quality_checks, time_batches, network_destinations, destination_lookup, destination_description, cluster_summary, cluster_plot_sizes,
+    packets, packets_from_captures, packet_filter, flow_assembly, flow_bytes, flow_quality_checks, time_batches, network_destinations, destination_lookup, destination_description, cluster_summary, cluster_plot_sizes,
     activity_bins, activity_signatures, correlation_edges, complete_graph_edges, unpacked_graph, maximal_cliques, fingerprints_raw, flow_fingerprint_raw, nearest_fill, nearest_fill_all, flow_fingerprint,
     merge_fingerprints, merge_all, similar_pairs, fingerprint_union, fingerprint_map, similarity_semi_join, label_mode, closest_match, recognize, detect, default_common, default_largest, model_roundtrip,
-    graph_export_nodes, rolling_features, feature_deltas, browser_forest, classification_report, sequential_split, random_split)}
+    graph_export_nodes, graph_export_destinations, text_forms, fingerprints_by_label, browser_smoothing, rolling_features, feature_deltas, browser_forest, classification_report, sequential_split, random_split)}
 
 _PARTS = [
     ("packets", PACKETS_SQL),
@@ -292,10 +326,30 @@ def _sql(upto: str, tail: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + tail.lstrip()
 
 
+# a list of fingerprints is folded pair by pair: {0} the scope column and a comma (or nothing), {1} the fingerprints, {2} the threshold, {3} a name
+_FOLD = """
+{3}_pairs AS (SELECT {0} l, r, row_number() OVER ({4} ORDER BY l, r) AS k FROM (SELECT {5} a.fp_id AS l, b.fp_id AS r, len(list_intersect(a.keys, b.keys)) AS c, len(a.keys) AS nl, len(b.keys) AS nr
+  FROM {1} a JOIN {1} b ON {6} a.fp_id < b.fp_id AND list_has_any(a.keys, b.keys)) WHERE c / (nl + nr - c) >= {2} AND (greatest(nl, nr) - least(nl, nr)) / greatest(nl, nr, 1) <= 1.0::DOUBLE - {2}::DOUBLE),
+{3}_fold({0} k, state) AS (SELECT {0} 0::BIGINT, list({{'id': fp_id, 'keys': keys, 'n': n_flows}}) FROM {1} {7} UNION ALL
+  SELECT {8} p.k, list_transform(f.state, lambda x: CASE WHEN x.id IN (p.l, p.r) THEN {{'id': x.id,
+    'keys': list_sort(list_distinct(flatten(list_transform(list_filter(f.state, lambda y: y.id IN (p.l, p.r)), lambda y: y.keys)))),
+    'n': least(list_sum(list_transform(list_filter(f.state, lambda y: y.id IN (p.l, p.r)), lambda y: y.n::HUGEINT)), 9223372036854775807)::BIGINT}} ELSE x END)
+  FROM {3}_fold f JOIN {3}_pairs p ON {9} p.k = f.k + 1),
+{3} AS (SELECT {0} x.id AS fp_id, sha256(array_to_string(x.keys, chr(10))) AS merged_id, x.keys AS keys, x.n AS n_flows FROM (SELECT {0} unnest(arg_max(state, k)) AS x FROM {3}_fold {7}))"""
+
+
+def _fold(name: str, table: str, threshold: float, batched: bool) -> str:
+    if batched:
+        return _FOLD.format("batch,", table, threshold, name, "PARTITION BY batch", "a.batch,", "a.batch = b.batch AND", "GROUP BY batch", "f.batch,", "p.batch = f.batch AND")
+    return _FOLD.format("", table, threshold, name, "", "", "", "", "", "")
+
+
 _FILL = """, n AS (SELECT *, last_value(CASE WHEN fp_id IS NOT NULL THEN time_start END IGNORE NULLS) OVER p AS bt, last_value(fp_id IGNORE NULLS) OVER p AS bf,
   first_value(CASE WHEN fp_id IS NOT NULL THEN time_start END IGNORE NULLS) OVER q AS nt, first_value(fp_id IGNORE NULLS) OVER q AS af FROM assigned
   WINDOW p AS ({0} ORDER BY time_start, flow_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS ({0} ORDER BY time_start, flow_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT flow_idx, batch, coalesce(fp_id, CASE WHEN coalesce(abs(time_start - bt), 'inf'::DOUBLE) < coalesce(abs(time_start - nt), 'inf'::DOUBLE) THEN bf ELSE af END) AS fp_id FROM n"""
+_NODE_LABELS = """l AS (SELECT batch, node_id, map_from_entries(list_sort(list({{'k': label, 'v': n}}))) AS labels FROM (SELECT batch, {0}, label, count(*) AS n FROM {1} GROUP BY ALL) GROUP BY ALL)
+SELECT batch, node_id, to_json({{'certs': list_transform(list_filter(keys, lambda x: starts_with(x, 'c|')), lambda x: substr(x, 3)), 'ips': list_transform(list_filter(keys, lambda x: starts_with(x, 'd|')), lambda x: substr(x, 3)), 'labels': labels, 'window': w}})::VARCHAR AS label"""
 _ROLL = """, seeds1 AS (SELECT key, min(flow_idx) AS i FROM (SELECT d AS key, flow_idx FROM batched UNION ALL SELECT c, flow_idx FROM batched WHERE c IS NOT NULL) GROUP BY key),
 links1 AS (SELECT d AS key, c AS other FROM batched WHERE c IS NOT NULL UNION SELECT c, d FROM batched WHERE c IS NOT NULL),
 reach1(key, i) AS (SELECT * FROM seeds1 UNION SELECT l.other, r.i FROM reach1 r JOIN links1 l ON r.key = l.key),
@@ -307,6 +361,7 @@ roll AS (SELECT a.flow_idx, a.us, count(DISTINCT b.dest_id) AS n_clusters, sum(b
 
 ORACLES = {
     "packets": _sql("packets", "SELECT * EXCLUDE (file) FROM packets"),
+    "packets_from_captures": _sql("packets", "SELECT * EXCLUDE (stream, pkt_no, cert), row_number() OVER (PARTITION BY file ORDER BY pkt_no) - 1 AS pkt_no, CASE WHEN len >= 104 THEN cert END AS cert FROM packets"),
     "packet_filter": _sql("packets", "SELECT pkt_no, ts, len, ip_src, cert FROM packets WHERE proto = 'tcp' AND len > 700 AND cert IS NOT NULL"),
     "flow_assembly": _sql("flows", "SELECT * EXCLUDE (label) FROM flows"),
     "flow_bytes": _sql("flows", "SELECT flow_idx, sum(CASE WHEN p.ip_src = f.src THEN len ELSE 0 END)::BIGINT AS bytes_out, sum(CASE WHEN p.ip_src = f.src THEN 0 ELSE len END)::BIGINT AS bytes_in, string_agg((CASE WHEN p.ip_src = f.src THEN len ELSE -len END)::VARCHAR, ',' ORDER BY pkt_no) AS lengths, strftime(make_timestamp(round(any_value(time_start) * 1e6)::BIGINT), '%H:%M:%S.%f') AS at FROM packets p JOIN flows f USING (file, proto, stream) GROUP BY flow_idx"),
@@ -321,6 +376,7 @@ ORACLES = {
       SELECT flow_idx, b.batch, coalesce(x.dest_id, y.dest_id, -1) AS dest_id FROM batched b LEFT JOIN dests x ON b.batch = x.batch AND b.d = x.key LEFT JOIN dests y ON b.batch = y.batch AND b.c = y.key"""),
     "destination_description": _sql("clustered", ", k AS (SELECT batch, dest_id, key, count(*) AS n, min(flow_idx) AS i FROM (SELECT batch, dest_id, d AS key, flow_idx FROM clustered UNION ALL SELECT batch, dest_id, c, flow_idx FROM clustered WHERE c IS NOT NULL) GROUP BY ALL) SELECT batch, dest_id, key AS description FROM k QUALIFY row_number() OVER (PARTITION BY batch, dest_id ORDER BY key LIKE 'c|%' DESC, n DESC, i) = 1"),
     "cluster_summary": _sql("clustered", "SELECT batch, count(*) AS samples, count(DISTINCT dest_id) AS destinations, count(DISTINCT cert) AS certificates, count(DISTINCT d) AS endpoints FROM clustered GROUP BY batch"),
+    "cluster_plot_sizes": _sql("clustered", ", k AS (SELECT batch, dest_id, key, count(*) AS n, min(flow_idx) AS i FROM (SELECT batch, dest_id, d AS key, flow_idx FROM clustered UNION ALL SELECT batch, dest_id, c, flow_idx FROM clustered WHERE c IS NOT NULL) GROUP BY ALL), w AS (SELECT batch, dest_id, key AS description FROM k QUALIFY row_number() OVER (PARTITION BY batch, dest_id ORDER BY key LIKE 'c|%' DESC, n DESC, i) = 1) SELECT batch, dest_id, description, count(*) AS n, round(20 * pow(count(*), 0.7), 6) AS size FROM w JOIN clustered USING (batch, dest_id) GROUP BY ALL"),
     "activity_bins": _sql("act", "SELECT batch, dest_id, array_to_string(bins, ',') AS bins FROM act"),
     "activity_signatures": _sql("nodes", "SELECT batch, node_id, array_to_string(bins, ',') AS bins, array_to_string(dest_ids, ',') AS dest_ids FROM nodes"),
     "correlation_edges": _sql("edges", "SELECT * FROM edges"),
@@ -331,6 +387,14 @@ ORACLES = {
     "flow_fingerprint_raw": _sql("assigned", "SELECT flow_idx, batch, fp_id FROM assigned"),
     "nearest_fill": _sql("assigned", _FILL.format("PARTITION BY batch")),
     "nearest_fill_all": _sql("assigned", _FILL.format("")),
+    "flow_fingerprint": _sql("assigned", _FILL.format("PARTITION BY batch").replace(", n AS (", ", filled AS (WITH n AS (").replace("SELECT flow_idx, batch, coalesce", "SELECT flow_idx, batch, time_start, coalesce") + f"""),
+      held AS (SELECT f.batch, f.fp_id, f.keys, f.n_flows FROM fps f SEMI JOIN filled g ON f.batch = g.batch AND f.fp_id = g.fp_id), {_fold("loc", "held", SIMILARITY, True)},
+      met AS (SELECT merged_id AS fp_id, any_value(keys) AS keys, max(n_flows) AS n_flows FROM loc GROUP BY merged_id), {_fold("whole", "met", SIMILARITY, False)},
+      last AS (SELECT merged_id AS fp_id, any_value(keys) AS keys, max(n_flows) AS n_flows FROM whole GROUP BY merged_id),
+      assigned2 AS (SELECT f.flow_idx, f.batch, f.time_start, g.merged_id AS fp_id FROM filled f LEFT JOIN loc l ON f.batch = l.batch AND f.fp_id = l.fp_id LEFT JOIN whole g ON g.fp_id = l.merged_id),
+      filled2 AS (""" + _FILL.format("").replace(", n AS (", "WITH n AS (", 1).replace("FROM assigned", "FROM assigned2") + """)
+      SELECT f.flow_idx, coalesce(l.fp_id, sha256('')) AS fp_id, coalesce(len(l.keys), 0)::INT AS n_keys, coalesce(l.n_flows, 0) AS n_flows FROM filled2 f LEFT JOIN last l ON f.fp_id = l.fp_id"""),
+    "merge_fingerprints": _sql("users", f", {_fold('merged', 'users', 0.35, False)} SELECT fp_id, merged_id, len(keys)::INT AS n_keys, n_flows FROM merged"),
     "merge_all": _sql("users", ", a AS (SELECT sha256(array_to_string(list_sort(list_distinct(flatten(list(keys)))), chr(10))) AS merged_id, sum(n_flows)::BIGINT AS n_flows FROM users) SELECT fp_id, merged_id, a.n_flows FROM users, a"),
     "similar_pairs": _sql("users", "SELECT l, r, score FROM pairs WHERE l < r AND score >= 0.3 AND (greatest(nl, nr) - least(nl, nr)) / greatest(nl, nr, 1) <= 1.0::DOUBLE - 0.3::DOUBLE"),
     "fingerprint_union": _sql("users", "SELECT a.fp_id, len(list_intersect(a.keys, b.keys)) / len(list_distinct(a.keys || b.keys)) AS score, sha256(array_to_string(list_sort(list_distinct(a.keys || b.keys)), chr(10))) AS union_id, a.n_flows + b.n_flows AS n_flows FROM users a JOIN users b ON a.j % 2 = 0 AND b.j = a.j + 1"),
@@ -343,6 +407,20 @@ ORACLES = {
     "default_common": _sql("users", "SELECT fp_id FROM users ORDER BY n_flows DESC, ord, fp_id LIMIT 1"),
     "default_largest": _sql("users", "SELECT fp_id FROM users ORDER BY len(keys) DESC, ord, fp_id LIMIT 1"),
     "model_roundtrip": _sql("users", ", k AS (SELECT list_filter(keys, lambda x: x <> 'n|') AS keys, n_flows, label FROM users) SELECT sha256(array_to_string(keys, chr(10))) AS fp_id, array_to_string(keys, ',') AS keys, max(n_flows) AS n_flows, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM k GROUP BY k.keys"),
+    "graph_export_nodes": _sql("fps", ", m AS (SELECT batch, node_id, bins, unnest(dest_ids) AS dest_id FROM nodes), k AS (SELECT m.batch, node_id, any_value(bins) AS w, list_sort(list_distinct(flatten(list(keys)))) AS keys FROM m JOIN state USING (batch, dest_id) GROUP BY m.batch, node_id), " + _NODE_LABELS.format("node_id", "m JOIN clustered c USING (batch, dest_id)") + " FROM k JOIN l USING (batch, node_id)"),
+    "graph_export_destinations": _sql("fps", ", m AS (SELECT batch, bins, unnest(dest_ids) AS dest_id FROM nodes), k AS (SELECT batch, dest_id AS node_id, bins AS w, list_sort(keys) AS keys FROM m JOIN state USING (batch, dest_id)), " + _NODE_LABELS.format("dest_id AS node_id", "clustered") + " FROM k JOIN l USING (batch, node_id)"),
+    "fingerprints_by_label": _sql("users", "SELECT label, string_agg(fp_id, ',' ORDER BY len(keys), n_flows, fp_id) AS fp_ids FROM users GROUP BY label"),
+    "browser_smoothing": _sql("flows", """, o AS (SELECT file, proto, stream, sum(CASE WHEN p.ip_src = f.src THEN len ELSE 0 END) AS o FROM packets p JOIN flows f USING (file, proto, stream) GROUP BY ALL),
+      t AS (SELECT flow_idx, round(time_start * 1e6)::BIGINT AS us, o % 200 = 7 AS hit FROM flows JOIN o USING (file, proto, stream))
+      SELECT flow_idx, CASE WHEN EXISTS (SELECT 1 FROM t h WHERE h.hit AND t.us BETWEEN h.us - 300000000 AND h.us + 120000000) THEN 1 ELSE -1 END AS prediction FROM t"""),
+    "text_forms": _sql("fps", """, labels AS (SELECT batch, dest_id, string_agg(format('{0}{1}{0}: {2}', chr(39), label, n), ', ' ORDER BY label) AS t FROM (SELECT batch, dest_id, label, count(*) AS n FROM clustered GROUP BY ALL) GROUP BY ALL),
+      ends AS (SELECT batch, dest_id, string_agg(format('({0}{1}{0}, {2})', chr(39), dst, dport), ', ' ORDER BY dst, dport) AS t FROM (SELECT DISTINCT batch, dest_id, dst, dport FROM clustered) GROUP BY ALL),
+      """ + _USERS[0][1].lstrip().split(",\npairs", 1)[0] + """
+      SELECT format('[Time {} to {}] {:>15}:{:<5} <-> {:>15}:{:<5} [Length {}]', strftime(make_timestamp(round(time_start * 1e6)::BIGINT), '%H:%M:%S.%f'), strftime(make_timestamp(round(time_end * 1e6)::BIGINT), '%H:%M:%S.%f'), src, sport, dst, dport, n_packets) AS line FROM clustered
+      UNION ALL SELECT format('NetworkDestination [{:4}] [size={:4}] [IPs=[{}]] [labels={{{}}}]', s.dest_id, s.n_flows, e.t, l.t) FROM state s JOIN ends e USING (batch, dest_id) JOIN labels l USING (batch, dest_id)
+      UNION ALL SELECT format('Fingerprint(0x{}) [size={:4}]', substr(fp_id, 1, 12), len(keys)) FROM users"""),
+    "random_split": _sql("flows", """, h AS (SELECT flow_idx, ((flow_idx % 2147483647) * 48271 + 42) % 2147483647 AS x FROM flows), g AS (SELECT flow_idx, (xor(x, x >> 15) * 69621 + 42) % 2147483647 AS x FROM h)
+      SELECT flow_idx, row_number() OVER (ORDER BY x, flow_idx) > ceil(0.25::DOUBLE * count(*) OVER ()) AS is_train FROM g"""),
     "rolling_features": _sql("batched", _ROLL + "SELECT * FROM roll"),
     "feature_deltas": _sql("batched", _ROLL + ", x AS (SELECT flow_idx, coalesce(n_clusters - lag(n_clusters) OVER w, 0)::DOUBLE AS d_cluster, coalesce(incoming - lag(incoming) OVER w, 0) AS d_incoming, coalesce(outgoing - lag(outgoing) OVER w, 0) AS d_outgoing FROM roll WINDOW w AS (ORDER BY us, flow_idx)) SELECT *, CASE WHEN d_outgoing = 0 THEN 0 ELSE d_incoming / d_outgoing END AS ratio FROM x"),
     "classification_report": _sql("flows", """, j AS (SELECT label AS y, 'cap_' || flow_idx % 7 AS p FROM flows), l AS (SELECT y AS label FROM j UNION SELECT p FROM j),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,44 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(tcp & (F.col("k") % 3 == 0), (F.lit(1000) + F.floor(F.col("k") / 6)).cast("string")).alias("cert"))
 
 
+def write_captures(packets: DataFrame, folder: str) -> None:
+    """Packets as capture files of a pcap kind, a file for each ``file``, that read_captures() reads back; a means to test with.
+
+    A certificate travels in packets with room for its message (CERTIFICATE_ROOM bytes of IP length).
+    """
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(folder)
+        with system.open_output_stream(f"{inner}/{rows.file.iloc[0]}.pcap") as out:
+            out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 101))
+            for r in rows.sort_values("pkt_no").itertuples(index=False):
+                us = round(r.ts * 1e6)
+                head = struct.pack(">HHIIBBHHH", r.port_src, r.port_dst, 0, 0, 80, 24, 0, 0, 0) if r.proto == "tcp" else struct.pack(">HHHH", r.port_src, r.port_dst, r.len - 20, 0)
+                ip = struct.pack(">BBHHHBBH", 0x45, 0, r.len, 0, 0, 64, 6 if r.proto == "tcp" else 17, 0) + b"".join(bytes(map(int, a.split("."))) for a in (r.ip_src, r.ip_dst))
+                body = certificate_message(int(r.cert)) if r.cert is not None and r.len >= CERTIFICATE_ROOM else b""
+                frame = (ip + head + body).ljust(r.len, b"\0")[:r.len]
+                out.write(struct.pack("<IIII", us // 10**6, us % 10**6, len(frame), len(frame)) + frame)
+        return pd.DataFrame({"file": [rows.file.iloc[0]]})
+
+    packets.groupBy("file").applyInPandas(write, "file string").write.format("noop").mode("overwrite").save()
+
+
+CERTIFICATE_ROOM = 104
+
+
+def certificate_message(serial: int) -> bytes:
+    """A TLS record with a Certificate message of one bare certificate of this serial."""
+    n = serial.to_bytes(serial.bit_length() // 8 + 1, "big")
+    part = b"\xa0\x03\x02\x01\x02\x02" + bytes([len(n)]) + n + b"\x05\x00"
+    part = b"\x30" + bytes([len(part)]) + part
+    der = b"\x30" + bytes([len(part)]) + part
+    listed = len(der).to_bytes(3, "big") + der
+    message = len(listed).to_bytes(3, "big") + listed
+    message = b"\x0b" + len(message).to_bytes(3, "big") + message
+    return b"\x16\x03\x03" + struct.pack(">H", len(message)) + message
+
+
 PACKETS_SQL = """
 packets AS (SELECT 'cap_' || user_id % 5 AS file, CASE WHEN tcp THEN 'tcp' ELSE 'udp' END AS proto, event_id::VARCHAR AS stream, event_id * 4 + j AS pkt_no,
   (start + j * 7500000) / 1e6::DOUBLE AS ts, 40 + (event_id * 31 + j * 13) % 1400 AS len,

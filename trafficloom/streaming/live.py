@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fingerprints, flows, model
+from ..plans.shared import materialize, temporary
 
 
 def closed_packets(packets: DataFrame, batch: float = 300.0, late: str = "10 minutes") -> DataFrame:
@@ -19,11 +20,15 @@ def closed_packets(packets: DataFrame, batch: float = 300.0, late: str = "10 min
 
 
 def label_stream(packets: DataFrame, known: DataFrame, sink, batch: float = 300.0, window: float = 30.0, correlation: float = 0.1, late: str = "10 minutes"):
-    """A query writer: each closed window's flows get fingerprints and the label of the closest known one; sink(df, epoch) takes them."""
+    """A query writer: each closed window's flows get fingerprints and the label of the closest known one; sink(df, epoch) takes them.
+
+    The tables behind df are deleted when sink returns.
+    """
 
     def step(rows: DataFrame, epoch: int) -> None:
         opened = rows.select("file", "proto", "stream", F.explode("packets").alias("p")).select("file", "proto", "stream", "p.*")
-        made = fingerprints.generate(flows.assemble_flows(opened), batch, window, correlation)
-        sink(made.join(model.recognize(made, known), "fp_id"), epoch)
+        with temporary(rows.sparkSession):
+            made = materialize(fingerprints.generate(flows.assemble_flows(opened), batch, window, correlation), "made")
+            sink(made.join(model.recognize(made, known), "fp_id"), epoch)
 
     return closed_packets(packets, batch, late).writeStream.outputMode("append").foreachBatch(step)
