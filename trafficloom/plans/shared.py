@@ -39,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+#: Most bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session where they are at Spark's default (64 MB), which long texts would fill."""
+    default = spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH_SETTING)
+    if spark.conf.get(_BATCH_SETTING) == default:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
