@@ -383,3 +383,63 @@ def test_model_without_labels_and_empty(spark):
         model.TrafficModel().model
     with pytest.raises(ValueError):
         model.default_match(fp_table(spark, []).withColumn("ord", F.lit(0)), "common")
+
+
+def test_fingerprints_that_no_flow_has_are_not_merged(spark, monkeypatch):
+    """Of two similar fingerprints only one is given to flows, so it stays as it is."""
+    shared = [f"d|1.1.1.{k}|443" for k in range(8)]
+    held, other = [*shared, "d|2.2.2.2|443"], [*shared, "d|3.3.3.3|443"]
+    fps = fp_table(spark, [held, other]).withColumn("batch", F.lit(1))
+    name = {tuple(sorted(r["keys"])): r.fp_id for r in fps.collect()}
+    given = spark.createDataFrame([(0, 1, 0.0, name[tuple(sorted(held))]), (1, 1, 1.0, None)], "flow_idx long, batch int, time_start double, fp_id string")
+
+    class Made:
+        def __init__(self, *_):
+            self.fps, self.assigned = fps, given
+
+    monkeypatch.setattr(fingerprints, "Tables", Made)
+    got = fingerprints.generate(given, similarity=0.5).collect()
+    assert [sorted(r["keys"]) for r in got] == [sorted(held)] * 2
+
+
+def test_smoothing(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.random() * 400, 1 if rng.random() < 0.04 else -1) for i in range(300)] + [(900, 500.0, 1), (901, 500.0, -1), (902, 510.0, -1), (903, 490.0, -1), (904, 510.000002, -1)]
+    got = {r.flow_idx: r.prediction for r in browser.smooth(spark.createDataFrame(rows, "flow_idx long, time_start double, prediction int"), 10, 10).collect()}
+    us = [round(t * 1e6) for _, t, _ in rows]
+    for (i, _, _), t in zip(rows, us):
+        assert got[i] == (1 if any(p == 1 and -10_000_000 <= t - h <= 10_000_000 for (_, _, p), h in zip(rows, us)) else -1)
+
+
+def test_text_and_saved_clusters(spark, tmp_path):
+    rows = [(0, 1, "a", 50000, "1.1.1.1", 443, "7", "x", 0.5, 61.25, 3, 0), (1, 1, "b", 50001, "2.2.2.2", 53, None, "x", 1.0, 1.0, 1, 1)]
+    df = spark.createDataFrame(rows, "flow_idx long, batch int, src string, sport int, dst string, dport int, cert string, label string, time_start double, time_end double, n_packets long, dest_id long")
+    assert df.select(flows.flow_text()).first()[0] == "[Time 00:00:00.500000 to 00:01:01.250000]               a:50000 <->         1.1.1.1:443   [Length 3]"
+    assert clusters.destination_state(df).orderBy("dest_id").select(clusters.destination_text()).first()[0] == "NetworkDestination [   0] [size=   1] [IPs=[('1.1.1.1', 443)]] [labels={'x': 1}]"
+    assert fp_table(spark, [["d|1|1"]]).select(model.fingerprint_text()).first()[0].endswith(") [size=   1]")
+    clusters.save(df, f"{tmp_path}/c")
+    again, known = clusters.load(spark, f"{tmp_path}/c")
+    assert again.count() == 2 and {r.key for r in known.collect()} == {"d|1.1.1.1|443", "c|7", "d|2.2.2.2|53"}
+    state = clusters.destination_state(df)
+    nodes = spark.createDataFrame([(1, 0, [0], [0, 1])], "batch int, node_id long, bins array<int>, dest_ids array<long>")
+    edges = spark.createDataFrame([], "batch int, u long, v long, weight double")
+    graph.export(nodes, edges, state, f"{tmp_path}/loose.gexf", dense=False)
+    graph.export(nodes, edges, state, f"{tmp_path}/dense.gexf")
+    assert (tmp_path / "loose.gexf").read_text().count("<node ") == 2 and (tmp_path / "loose.gexf").read_text().count("<edge ") == 1 and (tmp_path / "dense.gexf").read_text().count("<node ") == 1
+
+
+def test_model_files(spark, tmp_path):
+    known = fp_table(spark, [["d|1.1.1.1|443", "c|9"], ["d|2.2.2.2|53", "n|"]]).withColumn("label", F.lit("app"))
+    made = model.TrafficModel(batch=20.0)
+    made.counts = known.withColumn("flow_idx", F.monotonically_increasing_id())
+    made.save(f"{tmp_path}/m.json")
+    import json
+
+    value = json.loads((tmp_path / "m.json").read_text())
+    (tmp_path / "other.json").write_text(json.dumps(value, indent=1))
+    assert value["batch"] == 20.0 and len(value["fingerprints"]) == 2
+    for paths in (["m.json"], ["other.json"], ["m.json", "other.json"]):
+        again = model.TrafficModel()
+        out = again.load(spark, *(f"{tmp_path}/{x}" for x in paths), parameters=True).collect()
+        assert sorted((r["keys"], r.labels) for r in out) == [(["c|9", "d|1.1.1.1|443"], ["app"]), (["d|2.2.2.2|53"], ["app"])] and again.batch == 20.0
+    assert model.by_label(known).first().fp_ids == [r.fp_id for r in known.orderBy("n_flows").collect()]

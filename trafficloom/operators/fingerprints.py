@@ -142,9 +142,12 @@ def merge_map(fps: DataFrame, threshold: float, scope: list[str]) -> DataFrame:
     if threshold >= 1:
         return own
     if threshold <= 0:
-        all_keys = fps.groupBy(*scope).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"), F.sum("n_flows").alias("n_flows"))
-        one = fps.select(*scope, "fp_id").join(all_keys, scope) if scope else fps.select("fp_id").join(F.broadcast(all_keys))
-        return one.select(*scope, "fp_id", fingerprint_id(F.col("keys")).alias("merged_id"), "keys", "n_flows")
+        keys = fps.select(*scope, F.explode("keys").alias("key")).distinct().groupBy(*scope).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        flows_of = fps.groupBy(*scope).agg(F.sum("n_flows").alias("n_flows"))
+        one = keys.join(flows_of, scope) if scope else keys.crossJoin(flows_of)  # a row each
+        one = one.withColumn("merged_id", fingerprint_id(F.col("keys")))
+        rows = fps.select(*scope, "fp_id")
+        return (rows.join(one, scope) if scope else rows.crossJoin(one)).select(*scope, "fp_id", "merged_id", "keys", "n_flows")
     pairs = materialize(similar_pairs(fps, threshold, scope), "pairs")
     nodes = pairs.select(*scope, "l", "r", name_of(scope, "l").alias("src"), name_of(scope, "r").alias("dst"))
     parts = connected_components(nodes)
@@ -174,12 +177,12 @@ def name_of(scope: list[str], column: str):
     return F.concat_ws("/", *[F.col(c).cast("string") for c in scope], F.col(column))
 
 
-def closest(tests: DataFrame, trains: DataFrame, rounds: tuple[float, ...] = (0.5, 0.2)) -> DataFrame:
+def closest(tests: DataFrame, trains: DataFrame, rounds: tuple[float, ...] = (0.5, 0.2, 0.08, 0.03)) -> DataFrame:
     """(fp_id, match_id, score): of the train fingerprints that share a key the most similar, then smallest id.
 
     Tests without any shared key are left out. Each round joins the rarest keys alone (see
-    matches) and settles the tests that have a match of at least its similarity; only the rest
-    is compared on every key. A test that shares only the no-certificate key can
+    matches) and settles the tests that have a match of at least its similarity; only what is left after
+    the last one is compared on every key. A test that shares only the no-certificate key can
     do no better than the smallest train set that has it, so one row stands for all of those.
     """
     def best(met):
@@ -194,6 +197,8 @@ def closest(tests: DataFrame, trains: DataFrame, rounds: tuple[float, ...] = (0.
         found = materialize(best(near), "closest")
         left, tests = (df.join(found, "fp_id", "left_anti") for df in (left, tests))
         settled = found if settled is None else settled.unionByName(found)
+        if left.isEmpty():
+            return settled
     met = shared_keys(tests, trains, []).select("l", "r", jaccard_of_counts(F.col("shared"), F.col("n_l"), F.col("n_r")).alias("score"))
     rest = best(met.unionByName(_bare_matches(tests, trains)))
     return rest if settled is None else settled.unionByName(rest)

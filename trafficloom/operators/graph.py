@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,9 +48,17 @@ def unpack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return within.unionByName(across.select("batch", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight"))
 
 
-def cliques_of(neighbours: dict[int, set[int]]) -> Iterator[list[int]]:
-    """Maximal cliques of one graph, one at a time, by backtracking with a pivot over bit sets."""
-    names = sorted(neighbours)
+#: Nodes whose cliques one task looks for.
+ROOTS = 128
+
+
+def cliques_of(neighbours: dict[int, set[int]], mine: Callable[[int], bool] = lambda node: True) -> Iterator[list[int]]:
+    """Maximal cliques of one graph, one at a time, by backtracking with a pivot over bit sets.
+
+    Nodes stand in order of degree, and a clique belongs to its first node, so the cliques of
+    some nodes (mine) can be found apart from those of others.
+    """
+    names = sorted(neighbours, key=lambda n: (len(neighbours[n]), n))
     place = {n: i for i, n in enumerate(names)}
     near = [sum(1 << place[m] for m in neighbours[n]) for n in names]
 
@@ -59,47 +67,57 @@ def cliques_of(neighbours: dict[int, set[int]]) -> Iterator[list[int]]:
             yield (low := x & -x).bit_length() - 1
             x ^= low
 
-    stack = [(0, (1 << len(names)) - 1, 0)]
-    while stack:
-        chosen, open_, done = stack.pop()
-        if not open_ | done:
-            if chosen:
-                yield [names[i] for i in bits(chosen)]
+    for root, name in enumerate(names):
+        if not mine(name):
             continue
-        pivot = max(bits(open_ | done), key=lambda i: (near[i] & open_).bit_count())
-        for i in bits(open_ & ~near[pivot]):
-            stack.append((chosen | 1 << i, open_ & near[i], done & near[i]))
-            open_ ^= 1 << i
-            done |= 1 << i
-
-
-def maximal_cliques(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20_000) -> DataFrame:
+        earlier = (1 << root) - 1
+        stack = [(1 << root, near[root] & ~earlier, near[root] & earlier)]
+        while stack:
+            chosen, open_, done = stack.pop()
+            if not open_ | done:
+                yield sorted(names[i] for i in bits(chosen))
+                continue
+            pivot = max(bits(open_ | done), key=lambda i: (near[i] & open_).bit_count())
+            for i in bits(open_ & ~near[pivot]):
+                stack.append((chosen | 1 << i, open_ & near[i], done & near[i]))
+                open_ ^= 1 << i
+                done |= 1 << i
+
+
+def maximal_cliques(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(batch, node_ids) of every maximal clique; a node without edges is one.
 
-    Batches are independent tasks; a batch has at most 2^(batch / window) nodes. A
-    batch of more than max_nodes fails by name: nothing is ever cut off.
+    A batch's graph (2^(batch / window) nodes at most) goes to a task for every ROOTS of its nodes, which finds
+    the cliques that belong to them and puts them out as it does. A dense graph may have very many.
     """
     both = edges.select("batch", "u", "v").union(edges.select("batch", F.col("v").alias("u"), F.col("u").alias("v")))
     near = both.groupBy("batch", F.col("u").alias("node_id")).agg(F.collect_set("v").alias("near"))
-    graph = nodes.select("batch", "node_id").join(near, ["batch", "node_id"], "left")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        if len(rows) > max_nodes:
-            raise ValueError(f"batch {rows.batch.iloc[0]} has {len(rows)} nodes; choose a shorter batch or a higher correlation")
-        found = cliques_of({n: set() if x is None else set(x) for n, x in zip(rows.node_id, rows.near)})
-        batch, out = int(rows.batch.iloc[0]), []
-        for c in found:
-            out.append((batch, [int(x) for x in c]))
+    parts = nodes.groupBy("batch").agg(F.ceil(F.count(F.lit(1)) / ROOTS).cast("int").alias("parts"))
+    graph = nodes.select("batch", "node_id").join(near, ["batch", "node_id"], "left").join(parts, "batch").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    graph = graph.select("batch", "part", "parts", "node_id", "near", (F.pmod(F.xxhash64("node_id"), "parts") == F.col("part")).alias("mine"))
+
+    def search(held: list[tuple]) -> Iterator[pd.DataFrame]:
+        batch, roots, out = held[0][0], {node for _, _, node, _, own in held if own}, []
+        for clique in cliques_of({node: set() if near is None else set(near) for _, _, node, near, _ in held}, roots.__contains__):
+            out.append((batch, clique))
             if len(out) == 10_000:
                 yield pd.DataFrame(out, columns=["batch", "node_ids"])
                 out = []
         yield pd.DataFrame(out, columns=["batch", "node_ids"])
 
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(run(iter([rows]))))
-
-    return graph.groupBy("batch").applyInPandas(whole, "batch int, node_ids array<long>")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for frame in frames:
+            for row in zip(frame.batch, frame.part, frame.node_id, frame.near, frame.mine):
+                if held and row[:2] != held[0][:2]:
+                    yield from search(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from search(held)
+
+    rows = graph.repartition("batch", "part").sortWithinPartitions("batch", "part", "node_id")
+    return rows.select("batch", "part", "node_id", "near", "mine").mapInPandas(run, "batch int, node_ids array<long>")
 
 
 def clique_destinations(cliques: DataFrame, nodes: DataFrame) -> DataFrame:
