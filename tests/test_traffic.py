@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trafficloom import cli
 from trafficloom.functions import keys as K
 from trafficloom.operators import browser, clusters, fingerprints, flows, graph, model
+from trafficloom.plans import components
 from trafficloom.plans.components import connected_components
 from trafficloom.plans.ranking import global_rank
 from trafficloom.plans.skew import skewed_lookup
@@ -42,9 +43,11 @@ def test_batches_equal_histogram_edges(spark):
         assert [r.batch for r in flows.time_batches(df, width).orderBy("flow_idx").collect()] == want.tolist()
 
 
-def test_components_and_rank_and_lookup(spark):
+@pytest.mark.parametrize("hub", [1000, 30])
+def test_components_and_rank_and_lookup(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 700)] + [(7, 7)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 700)] + [(999, k) for k in range(800, 950)] + [(7, 7)]
     root = {}
 
     def find(x):

@@ -10,23 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, release
-from .skew import skewed_lookup
 
+#: A node with this many edges, and this share of them, is a hub: at most 2 / HUB_SHARE nodes are.
+HUB_EDGES, HUB_SHARE = 1000, 0.005
+TRACKED = 4000
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+
+def _with_minima(rows: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
+    """rows join low on u; hubs are known beforehand, so theirs is a broadcast of as many rows."""
+    if not hubs:
+        return rows.join(low, "u")
+    hub = F.col("u").isin(hubs)
+    return rows.filter(hub).join(F.broadcast(low.filter(hub)), "u").unionByName(rows.filter(~hub).join(low.filter(~hub), "u"))
+
+
+def _large_star(edges: DataFrame, hubs: list) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return skewed_lookup(both.filter("v > u"), low, "u", "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return _with_minima(both.filter("v > u"), low, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = skewed_lookup(edges, low, "u", "n", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, hubs: list) -> DataFrame:
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _with_minima(edges, low, hubs).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+def _digest(edges: DataFrame) -> tuple[tuple, list]:
+    """What tells whether the edges changed, and the hubs: no later node of the round has more edges than it has now."""
+    top = [F.expr(f"approx_top_k({c}, {int(1 / HUB_SHARE)}, {TRACKED})").alias(c) for c in ("u", "v")]
+    found = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), *top).first()
+    degree: dict = {}
+    for item, n in [*(found.u or []), *(found.v or [])]:
+        degree[item] = degree.get(item, 0) + n
+    return (found.n, found.x), sorted(k for k, n in degree.items() if n >= max(HUB_EDGES, HUB_SHARE * found.n))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -37,11 +54,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     a, b = F.col(src), F.col(dst)
     now = materialize(edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    seen = _digest(now)
+    seen, hubs = _digest(now)
     while seen[0]:
-        # a large star has at most as many edges as there were
-        after = materialize(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
-        found = _digest(after)
+        after = materialize(_small_star(_large_star(now, hubs), hubs), "edges")
+        found, hubs = _digest(after)
         release(now)
         now = after
         if found == seen:
