@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trafficloom.llm import bit_codes, pivot_index, vectors
 
@@ -25,6 +26,7 @@ def brute(x, ids, queries, k):
 def test_exact(spark, monkeypatch, cell):
     monkeypatch.setattr(vectors, "CELL_ROWS", cell)
     monkeypatch.setattr(vectors, "QUERY_ROWS", 5)
+    monkeypatch.setattr(vectors, "CENTRES", 6)
     monkeypatch.setattr(pivot_index, "ANNULUS_ROWS", 32)
     df, x = table(spark)
     ids = dict(enumerate(x)) | {2200: np.zeros(16)}
@@ -33,6 +35,64 @@ def test_exact(spark, monkeypatch, cell):
     assert rows == brute({**ids}, ids, [*range(0, 700, 50), 2200], 5)
 
 
+@pytest.mark.parametrize("cell", [8192, 50])
+def test_an_index_row_moves_once_a_round(spark, monkeypatch, cell):
+    """Rows that the tasks read: at most the index and the visits, however many blocks of queries there are."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", cell)
+    df, x = table(spark)
+    pivots = vectors.choose_centres(x, 6)
+    _, index, cells = vectors.build_index(vectors.valid_vectors(df, "vec_id", "embedding"), pivots)
+    assert cells.rows.sum() == 701 and (cells.parts.max() == 1) == (cell == 8192)
+    asked = vectors.valid_vectors(df, "vec_id", "embedding").select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("reach"))
+    read, met = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def prepare(rows):
+        read.add(rows.num_rows)
+
+        return rows
+
+    def search(rows, queries):
+        met.add(rows.num_rows * queries.num_rows)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    for first in (True, False):
+        vectors.visit(index, cells, asked, 5, first, prepare, search, 64).count()
+    assert read.value <= 2 * 701 and met.value == 701 * 701
+
+
+def test_bounds_hold(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    df, x = table(spark)
+    _, index, cells = vectors.build_index(vectors.valid_vectors(df, "vec_id", "embedding"), vectors.choose_centres(x, 6))
+    bound, _ = cells.bounds(x)
+    place = {(int(g), int(a)): i for i, (g, a) in enumerate(zip(cells.group, cells.annulus))}
+    assert len(place) > 6
+    for r in index.collect():
+        assert (x @ np.array(r.v) <= bound[:, place[r.group, r.annulus]]).all()
+
+
+def test_counts_of_packed_bits_estimate_inner_products():
+    rng = np.random.default_rng(9)
+    for dim in (3, 64, 100):
+        x, q, centre, turn = rng.normal(size=(900, dim)), rng.normal(size=(20, dim)), rng.normal(size=dim) / 3, bit_codes.rotation(dim)
+        x[5] = centre
+        words, fit = bit_codes.encode(x, centre, turn)
+        assert words.shape == (900, -(-dim // 64))
+        far = np.sqrt(((x - centre) ** 2).sum(1))
+        about, error = bit_codes.Codes(words, far, fit, centre, turn).estimate(q)
+        spin, signs = q @ turn, np.where((x - centre) @ turn > 0, 1, -1)
+        low, step = spin.min(1, keepdims=True), np.ptp(spin, axis=1)[:, None] / 15
+        plain = (q @ centre)[:, None] + (low + step * np.rint((spin - low) / step)) @ signs.T * (far / (np.where(fit > 0, fit, 1) * np.sqrt(dim)))
+        assert np.abs(about - plain).max() < 1e-4
+        assert (np.abs(about - q @ x.T) <= error).mean() > 0.93
+
+
+def test_very_large_components(spark):
+    df = spark.createDataFrame([(0, [3e30, 1.0]), (50, [2.0**31, 2.0**30 + 1]), (51, [2.0**31, 2.0**30]), (100, [1.0, 2.0]), (7, [-3e30, 0.0])], "vec_id long, embedding array<double>")
+    got = pivot_index.exact_top_k(df, "vec_id % 50 = 0", 5).collect()
+    assert len(got) == 12 and [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 50] == [0, 51, 100, 7]
+
+
 def test_exact_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in pivot_index.exact_top_k(df, df, 5).orderBy("query_id").collect()] == [(0, 1, 3.0), (1, 0, 3.0)]
@@ -44,6 +104,7 @@ def test_exact_small_and_empty(spark):
 def test_recall_and_scores(spark, monkeypatch, cell):
     monkeypatch.setattr(vectors, "CELL_ROWS", cell)
     monkeypatch.setattr(vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(vectors, "CENTRES", 5)
     df, x = table(spark, dim=32)
     got = bit_codes.approximate_top_k(df, df.filter("vec_id % 20 = 0"), 20).collect()
     ids = dict(enumerate(x))

@@ -1,28 +1,30 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is centred, normalised, rotated at random and kept as the signs of
+Every vector is taken relative to its nearest centre, normalised, rotated at random and kept as the signs of
 its coordinates (packed bits) with two correction scalars: its distance from the
-centre and the inner product ``a`` of its unit vector with its code. With
-code o' and unit query q, ``<o', q> / a`` estimates ``<o, q>`` with an error below
-``EPSILON * sqrt((1 - a^2) / (a^2 (dim - 1)))`` but for few rows. A query reranks, by
+centre and the inner product ``a`` of its unit vector with its code. A query is rotated too and quantised to
+PLANES bits a coordinate, so that its inner product with a code is a sum of bit counts of packed words. With
+code o' and query q, ``<o', q> / a`` estimates ``<o, q>`` with an error below
+``EPSILON * |q| sqrt((1 - a^2) / (a^2 (dim - 1)))``, and the rounding of q, but for few rows. A query reranks, by
 the original vectors, first the rows of a cell with the best estimates, then those
-whose upper bound reaches the k-th best exact score so far, in this cell or a first one.
+whose upper bound reaches the k-th best exact score so far, in this cell or a first one. Cells that
+cannot reach it are not visited (see vectors).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
 from . import vectors as V
 
-EPSILON, SEED = 2.2, 20
+EPSILON, SEED, PLANES = 2.2, 20, 4
 #: So many times k rows of a cell are reranked first; their k-th best score is the bar for the others' upper bounds.
 FIRST = 4
-BLOCK_ROWS = 50_000
+#: Queries that are estimated at once, and products that are made at once.
+BLOCK, BLOCK_ROWS = 64, 50_000
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -31,46 +33,55 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, distance from the centre, inner product of unit vector and code."""
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    whole = np.zeros((*bits.shape[:-1], -(-bits.shape[-1] // 64) * 64), dtype=bool)
+    whole[..., :bits.shape[-1]] = bits
+    return np.packbits(whole, axis=-1, bitorder="little").view("<u8")
+
+
+def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sign bits, and the inner product of unit vector and code; centre: one, or one a row."""
     o = x - centre
     far = np.sqrt((o * o).sum(1))
     o = (o / np.where(far > 0, far, 1)[:, None]) @ turn
-    return np.packbits(o > 0, axis=1), far, np.abs(o).sum(1) / np.sqrt(x.shape[1])
-
-
-def estimate(q: np.ndarray, bits: np.ndarray, far: np.ndarray, fit: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products of queries with encoded rows, and their error bounds."""
-    dim = q.shape[1]
-    spin = (q @ turn).astype(np.float32)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    safe = np.where(fit > 0, fit, 1)
-    scale = far / (safe * np.sqrt(dim))
-    mid = (q @ centre)[:, None]
-    error = EPSILON * far * np.sqrt(np.maximum(1 - safe * safe, 0) / max(dim - 1, 1)) / safe
-    size = np.sqrt((q * q).sum(1))
-    return mid + (spin @ signs.T) * scale[None, :], size[:, None] * (error + 1e-6 * (1 + far))[None, :]
-
-
-def _encode(centre: np.ndarray, turn: np.ndarray):
-    def run(batches):
-        for b in batches:
-            bits, far, fit = encode(V.matrix(b.column("v"), len(centre)), centre, turn)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(far), pa.array(fit)], names=["vec_id", "v", "bits", "far", "fit"])
-
-    return run
-
-
-def _sums(dim: int):
-    """Each task's sum and number of vectors."""
-
-    def run(batches):
-        total, n = np.zeros(dim), 0
-        for b in batches:
-            total, n = total + V.matrix(b.column("v"), dim).sum(0), n + b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], names=["total", "n"])
-
-    return run
+    return packed(o > 0), np.abs(o).sum(1) / np.sqrt(x.shape[1])
+
+
+class Codes:
+    """The codes of a cell, with everything that does not depend on a query made once."""
+
+    def __init__(self, words: np.ndarray, far: np.ndarray, fit: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+        self.words, self.far, self.centre, self.turn, self.dim = words, far, centre, turn, len(centre)
+        safe = np.where(fit > 0, fit, 1)
+        self.ones = np.bitwise_count(words).sum(axis=1, dtype=np.int32).astype(np.float32)
+        self.scale = (far / (safe * np.sqrt(self.dim))).astype(np.float32)
+        # in units of |q|, and of the root mean square that rounding took from q
+        self.error = (EPSILON * far * np.sqrt(np.maximum(1 - safe * safe, 0) / max(self.dim - 1, 1)) / safe + 1e-5 * (1 + far)).astype(np.float32)
+        self.round = (EPSILON * far / safe).astype(np.float32)
+
+    def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of queries with the cell's rows, and their error bounds."""
+        spin = q @ self.turn
+        low = spin.min(axis=1, keepdims=True)
+        step = (spin.max(axis=1, keepdims=True) - low) / (2**PLANES - 1)
+        step = np.where(step > 0, step, 1)
+        level = np.rint((spin - low) / step).astype(np.int64)
+        met = np.zeros((len(q), len(self.words)), dtype=np.uint32 if self.dim > 4000 else np.uint16)
+        for j in range(PLANES - 1, -1, -1):
+            plane = packed((level >> j & 1).astype(bool))
+            met <<= 1
+            for w in range(self.words.shape[1]):
+                met += np.bitwise_count(plane[:, w, None] & self.words[None, :, w])
+        rounded = low + step * level
+        lost = np.sqrt(((spin - rounded) ** 2).mean(axis=1, keepdims=True))
+        # a code is 2 bit - 1, so its product is twice the sum over ones, less the sum over all
+        about = met * (2 * step).astype(np.float32)
+        about += (2 * low).astype(np.float32) * self.ones - rounded.sum(axis=1, keepdims=True).astype(np.float32)
+        about *= self.scale
+        about += (q @ self.centre)[:, None].astype(np.float32)
+        size = np.sqrt((q * q).sum(1))[:, None].astype(np.float32)
+        return about, size * self.error + lost.astype(np.float32) * self.round
 
 
 def _first_exact(q: np.ndarray, x: np.ndarray, about: np.ndarray, k: int) -> np.ndarray:
@@ -85,77 +96,67 @@ def _first_exact(q: np.ndarray, x: np.ndarray, about: np.ndarray, k: int) -> np.
     return kth - 1e-9 * np.where(np.isfinite(kth), 1 + np.abs(kth), 0)
 
 
-def _rerank(centre: np.ndarray, turn: np.ndarray, k: int):
-    dim = len(centre)
+def _prepare(centres: np.ndarray, turn: np.ndarray):
+    dim = len(turn)
+
+    def prepare(index: pa.Table) -> tuple:
+        vid, x = index.column("id").to_numpy(), V.matrix(index.column("v"), dim)
+        words = np.frombuffer(b"".join(index.column("bits").to_pylist()), dtype="<u8").reshape(len(vid), -1)
+        return vid, x, Codes(words, index.column("r").to_numpy(), index.column("fit").to_numpy(), centres[index.column("group")[0].as_py()], turn)
 
-    def task(index: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if index.num_rows == 0 or queries.num_rows == 0:
-            return empty
-        index = index.sort_by("vec_id")
-        vid, x = index.column("vec_id").to_numpy(), V.matrix(index.column("v"), dim)
-        bits = np.frombuffer(b"".join(index.column("bits").to_pylist()), dtype=np.uint8).reshape(len(vid), -1)
-        far, fit = index.column("far").to_numpy(), index.column("fit").to_numpy()
-        q, qid, reach = V.matrix(queries.column("v"), dim), queries.column("query_id").to_numpy(), queries.column("reach").to_numpy()
+    return prepare
+
+
+def _rerank(dim: int, k: int):
+    def search(ready: tuple, queries: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        vid, x, codes = ready
+        q, qid, reach = V.matrix(queries.column("v"), dim), queries.column("id").to_numpy(), queries.column("reach").to_numpy(zero_copy_only=False)
         reach = reach - 1e-9 * np.where(np.isfinite(reach), 1 + np.abs(reach), 0)  # a sum may be rounded otherwise than in the first round
-        out = []
-        for s in range(0, len(q), 128):
-            part = slice(s, s + 128)
-            about, error = estimate(q[part], bits, far, fit, centre, turn)
-            about[vid[None, :] == qid[part, None]] = -np.inf
-            own = q[part]
-            floor = np.maximum(reach[part], _first_exact(own, x, about, k))
-            go = (about + error >= floor[:, None]) & (about > -np.inf)
-            kept = []
-            for i in range(len(own)):
-                near = np.flatnonzero(go[i])
-                kept.append(near[x[near] @ own[i] >= floor[i]])
-            row, col = np.repeat(np.arange(len(own)), [len(c) for c in kept]), np.concatenate(kept)
-            blocks = range(0, len(row), BLOCK_ROWS)  # of equal vectors all may be left
-            exact = np.concatenate([np.einsum("ij,ij->i", own[row[c:c + BLOCK_ROWS]], x[col[c:c + BLOCK_ROWS]]) for c in blocks] or [np.zeros(0)])
-            order = np.lexsort((vid[col], -exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            nth = np.arange(len(row)) - np.searchsorted(row, row)
-            good = (nth < k) & (exact >= reach[part][row])
-            out.append(pa.table({"query_id": qid[part][row[good]], "vec_id": vid[col[good]], "score": exact[good]}))
-        return pa.concat_tables(out) if out else empty
-
-    return task
-
-
-def approximate_top_k(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        about, error = codes.estimate(q)
+        about[vid[None, :] == qid[:, None]] = -np.inf
+        floor = np.maximum(reach, _first_exact(q, x, about, k))
+        go = (about + error >= floor[:, None]) & (about > -np.inf)
+        row, col = np.nonzero(go)
+        blocks = range(0, len(row), BLOCK_ROWS)  # of equal vectors all may be left
+        exact = np.concatenate([np.einsum("ij,ij->i", q[row[c:c + BLOCK_ROWS]], x[col[c:c + BLOCK_ROWS]]) for c in blocks] or [np.zeros(0)])
+        near = exact >= floor[row]
+        row, col, exact = row[near], col[near], exact[near]
+        order = np.lexsort((vid[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        good = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return qid[row[good]], vid[col[good]], exact[good]
+
+    return search
+
+
+def approximate_top_k(table: DataFrame, queries: DataFrame | Column | str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (exact inner product): the k nearest found of each query among rows of other ids.
 
-    All rows are encoded; nothing is fitted on a sample but the rotation's seed.
+    queries: a table of ids and vectors, or a condition on vec_id that picks them from table. All rows are
+    encoded; the centres are fitted on a sample of vectors.SAMPLE_ROWS rows.
     Zero vectors take no part; see valid_vectors for other rows that don't,
     repeated ids and lengths that differ. Ties go to the smaller id; fewer rows than
     k give fewer ranks; empty tables none; other columns are ignored.
     """
-    def taking_part(df: DataFrame) -> DataFrame:
-        return V.valid_vectors(df, id_col, vector_col).filter(F.exists("v", lambda x: x != 0))
+    def not_zero(df: DataFrame) -> DataFrame:
+        return df.filter(F.exists(F.col(vector_col).cast("array<double>"), lambda x: x != 0))
 
-    rows = materialize(taking_part(table), "vectors")
-    dim, n = rows.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
-    if not n:
+    dim = max(1, V.taking_part(not_zero(table), id_col, vector_col).agg(F.max(F.size("v"))).first()[0] or 1)
+    sample = V.sample_matrix(not_zero(table), id_col, vector_col, dim)
+    if not len(sample):
         return table.sparkSession.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
-    totals = rows.select("v").mapInArrow(_sums(dim), "total array<double>, n long").select(F.posexplode("total").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    centre = np.zeros(dim)
-    for t in totals:
-        centre[t["at"]] = t["x"] / n
-    turn = rotation(dim)
-    cells = {0: -(-n // V.CELL_ROWS)}
-    index = rows.mapInArrow(_encode(centre, turn), "vec_id long, v array<double>, bits binary, far double, fit double")
-    index = materialize(index.withColumn("group", F.lit(0)).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(cells[0])).cast("int")), "codes")
-    asked = materialize(taking_part(queries).select(F.lit(0).alias("group"), F.col("vec_id").alias("query_id"), "v"), "queries")
-    task, none = _rerank(centre, turn, k), F.lit(float("-inf"))
-    seeds = materialize(V.visit(index, asked.withColumn("reach", none), cells, task, k, first_only=True), "seeds")
-    reach = V.ranked(seeds, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
-    asked = materialize(asked.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", none)), "asked")
-    found = V.visit(index, asked, cells, task, k).unionByName(seeds).dropDuplicates(["query_id", "vec_id"])
-    return V.ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    centres, turn = V.choose_centres(sample), rotation(dim)
+
+    def codes(x: np.ndarray, centre: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        words, fit = encode(x, centre, turn)
+        return pa.array([w.tobytes() for w in words], pa.binary()), pa.array(fit)
+
+    written, index, cells = V.build_index(V.valid_vectors(not_zero(table), id_col, vector_col), centres, codes)
+    asked = V.valid_vectors(not_zero(queries), id_col, vector_col) if isinstance(queries, DataFrame) else written.filter(queries)
+    return V.two_rounds(index, cells, asked.select(F.col("vec_id").alias("query_id"), "v"), k, _prepare(centres, turn), _rerank(dim, k), BLOCK)
 
 
 def op8_bit_code_search(spark, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector of embeddings among all others."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return approximate_top_k(rows, rows.filter("vec_id % 20 = 0"), 20)
+    return approximate_top_k(rows, "vec_id % 20 = 0", 20)

@@ -1,11 +1,11 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
 Pivots are chosen on a bounded sample. Every vector is keyed by its nearest pivot
-and its distance r from it. A pivot's vectors, sorted by r, form annuli. For
+and its distance r from it; a pivot's vectors, sorted by r, form annuli (see vectors). For
 a query at distance d from the pivot the triangle inequality gives
 ``|q - v| >= |d - r|`` and so ``q.v <= (|q|^2 + |v|^2 - |d - r|^2) / 2``. A query
-visits its home pivot first, which bounds its k-th best score from below; then
-every pivot whose bound reaches that, where it expands annuli in order of
+visits the annuli of its best pivots first, which bounds its k-th best score from below; then
+every annulus whose bound reaches that. Within one it expands rings of ANNULUS_ROWS rows in order of
 ``|d - r|`` and stops at the first that cannot reach the k-th best any more.
 Equal scores count as reaching, so ties are whole.
 """
@@ -14,96 +14,45 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize
 from . import vectors as V
 
-PIVOTS, ANNULUS_ROWS = 48, 512
-#: Relative slack on bounds in floating point.
-SLACK = 1e-9
-
-
-def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Centres of a few rounds of k-means that starts from far-apart sample rows."""
-    chosen, gap = [0], None
-    for _ in range(min(count, len(sample)) - 1):
-        d = ((sample - sample[chosen[-1]]) ** 2).sum(1)
-        gap = d if gap is None else np.minimum(gap, d)
-        if gap.max() <= 0:
-            break
-        chosen.append(int(gap.argmax()))
-    pivots = sample[chosen].astype(float)
-    for _ in range(5):
-        home = distances(sample, pivots).argmin(1)
-        pivots = np.array([sample[home == p].mean(0) if (home == p).any() else pivots[p] for p in range(len(pivots))])
-    return pivots
-
-
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+ANNULUS_ROWS, BLOCK = 512, 1024
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products; by integers where doubles might round (the result must fit in a long)."""
+    """Inner products; of whole numbers by integers where doubles might round on the way and a long holds the result."""
     most = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * q.shape[1]
-    return q @ x.T if most < 2**52 else (q.astype(np.int64) @ x.astype(np.int64).T).astype(np.float64)
-
-
-def _assign(pivots: np.ndarray):
-    def run(batches):
-        for b in batches:
-            x = V.matrix(b.column("v"), pivots.shape[1])
-            d = distances(x, pivots)
-            home = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(d[np.arange(len(x)), home]), pa.array((x * x).sum(1))], names=["vec_id", "v", "group", "r", "norm2"])
-
-    return run
-
-
-def _route(pivots: np.ndarray, stats: dict[int, tuple], home_only: bool):
-    """(group, query_id, v, reach) for the pivots that a query has to visit."""
-    groups = np.array(sorted(stats))
-    low, high, norm2 = (np.array([stats[g][j] for g in groups]) for j in range(3))
-
-    def run(batches):
-        for b in batches:
-            q = V.matrix(b.column("v"), pivots.shape[1])
-            reach = b.column("reach").to_numpy(zero_copy_only=False)
-            d = distances(q, pivots)[:, groups]
-            bound = _bound((q * q).sum(1)[:, None], norm2, np.maximum(np.maximum(low - d, d - high), 0))
-            if home_only:
-                go = np.zeros_like(bound, dtype=bool)
-                go[np.arange(len(q)), d.argmin(1)] = True
-            else:
-                go = bound >= reach[:, None]
-            row, col = np.nonzero(go)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(groups[col].astype(np.int32)), b.column("query_id").take(take), b.column("v").take(take), b.column("reach").take(take)], names=["group", "query_id", "v", "reach"])
-
-    return run
-
-
-def _bound(q2, v2, gap):
-    """An upper bound of the inner product, widened by rounding."""
-    return (q2 + v2 - gap * gap) / 2 + SLACK * (1 + q2 + v2 + gap * gap)
-
-
-def _expand(pivots: np.ndarray, k: int):
-    def task(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if index.num_rows == 0 or queries.num_rows == 0:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        dim = pivots.shape[1]
-        r, vid = index.column("r").to_numpy(), index.column("vec_id").to_numpy()
+    if 2**52 <= most < 2**63 and (q == np.floor(q)).all() and (x == np.floor(x)).all():
+        return (q.astype(np.int64) @ x.astype(np.int64).T).astype(np.float64)
+    return q @ x.T
+
+
+def _rings(pivots: np.ndarray):
+    def prepare(index: pa.Table) -> tuple:
+        r, vid = index.column("r").to_numpy(), index.column("id").to_numpy()
         order = np.lexsort((vid, r))
-        r, vid, x, v2 = r[order], vid[order], V.matrix(index.column("v"), dim)[order], index.column("norm2").to_numpy()[order]
-        q, qid, reach = V.matrix(queries.column("v"), dim), queries.column("query_id").to_numpy(), queries.column("reach").to_numpy()
-        q2, d = (q * q).sum(1), distances(q, pivots[[index.column("group")[0].as_py()]])[:, 0]
+        r, vid, x = r[order], vid[order], V.matrix(index.column("v"), pivots.shape[1])[order]
         first = np.arange(0, len(r), ANNULUS_ROWS)
         last = np.r_[first[1:], len(r)]
-        gap = np.maximum(np.maximum(r[first] - d[:, None], d[:, None] - r[last - 1]), 0)
-        bound = _bound(q2[:, None], v2.max(), gap)
+        norm2 = (x * x).sum(1).max()
+        for a, z in zip(first, last):  # by id within a ring, for ties
+            by_id = a + np.argsort(vid[a:z], kind="stable")
+            vid[a:z], x[a:z] = vid[by_id], x[by_id]
+        return pivots[index.column("group")[0].as_py()], vid, x, norm2, first, last, r[first], r[last - 1]
+
+    return prepare
+
+
+def _expand(dim: int, k: int):
+    def search(ready: tuple, queries: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pivot, vid, x, norm2, first, last, low, high = ready
+        q, qid, reach = V.matrix(queries.column("v"), dim), queries.column("id").to_numpy(), queries.column("reach").to_numpy(zero_copy_only=False)
+        q2, d = (q * q).sum(1)[:, None], V.distances(q, pivot[None, :])
+        gap = np.maximum(np.maximum(low - d, d - high), 0)
+        bound = (q2 + norm2 - gap * gap) / 2 + V.SLACK * (1 + q2 + norm2 + gap * gap)
         tour = np.argsort(gap, axis=1, kind="stable")
         score, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), dtype=np.int64)
         going = np.ones(len(q), dtype=bool)
@@ -115,52 +64,41 @@ def _expand(pivots: np.ndarray, k: int):
             for a in np.unique(at[going]):
                 who = np.flatnonzero(going & (at == a))
                 part = slice(first[a], last[a])
-                by_id = np.argsort(vid[part], kind="stable")
-                s = products(q[who], x[part][by_id])
-                s[vid[part][by_id][None, :] == qid[who][:, None]] = -np.inf
-                best = V.top_of_block(s, vid[part][by_id], k)
-                score[who], ids[who] = V.merge_best(score[who], ids[who], *best, k)
+                s = products(q[who], x[part])
+                s[vid[part][None, :] == qid[who][:, None]] = -np.inf
+                score[who], ids[who] = V.merge_best(score[who], ids[who], *V.top_of_block(s, vid[part], k), k)
         row, col = np.nonzero((score > -np.inf) & (score >= reach[:, None]))
-        return pa.table({"query_id": qid[row], "vec_id": ids[row, col], "score": score[row, col]})
+        return qid[row], ids[row, col], score[row, col]
 
-    return task
+    return search
 
 
-def exact_top_k(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_top_k(table: DataFrame, queries: DataFrame | Column | str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (double): the k highest inner products of each query with rows of other ids.
 
-    Both tables hold ids and vectors; see valid_vectors for rows that take no
-    part, repeated ids and lengths that differ. Ties go to the smaller id.
-    Fewer rows than k give fewer ranks; empty tables none; other columns are ignored.
+    queries: a table of ids and vectors, or a condition on vec_id that picks them from table. See
+    valid_vectors for rows that take no part, repeated ids and lengths that differ. Ties go to the smaller id.
+    Fewer rows than k give fewer ranks; empty tables none; other columns are ignored. Scores of
+    2^53 or more are rounded to doubles; the ranks are those of the rounded scores.
     """
-    rows = V.valid_vectors(table, id_col, vector_col)
-    dim = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
-    sample = V.sample_matrix(rows, dim)
-    pivots = choose_pivots(sample) if len(sample) else np.zeros((1, dim))
-    index = materialize(rows.mapInArrow(_assign(pivots), "vec_id long, v array<double>, group int, r double, norm2 double"), "index")
-    # a row for each pivot
-    stats = {s["group"]: (s.low, s.high, s.norm2, s.n) for s in index.groupBy("group").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm2").alias("norm2"), F.count(F.lit(1)).alias("n")).collect()}
-    if not stats:
+    dim = max(1, V.taking_part(table, id_col, vector_col).agg(F.max(F.size("v"))).first()[0] or 1)
+    sample = V.sample_matrix(table, id_col, vector_col, dim)
+    if not len(sample):
         return table.sparkSession.sql("SELECT 0L AS query_id, 0 AS rank, 0L AS vec_id, 0D AS score WHERE false")
-    cells = {g: -(-s[3] // V.CELL_ROWS) for g, s in stats.items()}
-    parts = F.element_at(F.create_map(*[F.lit(x) for g, n in cells.items() for x in (g, n)]), F.col("group"))
-    index = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
-    asked = V.valid_vectors(queries, id_col, vector_col).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("reach"))
-    schema, task = "group int, query_id long, v array<double>, reach double", _expand(pivots, k)
-    seeds = V.visit(index, asked.mapInArrow(_route(pivots, stats, True), schema), cells, task, k, first_only=True)
-    reach = V.ranked(seeds, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("reach"))
-    asked = materialize(asked.drop("reach").join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("-inf")))), "queries")
-    found = V.visit(index, materialize(asked.mapInArrow(_route(pivots, stats, False), schema), "visits"), cells, task, k)
-    return V.ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    pivots = V.choose_centres(sample)
+    written, index, cells = V.build_index(V.valid_vectors(table, id_col, vector_col), pivots)
+    asked = V.valid_vectors(queries, id_col, vector_col) if isinstance(queries, DataFrame) else written.filter(queries)
+    return V.two_rounds(index, cells, asked.select(F.col("vec_id").alias("query_id"), "v"), k, _rings(pivots), _expand(dim, k), BLOCK)
 
 
 def op3_exact_top_k(spark, sf_dir: str) -> DataFrame:
-    """The 5 highest integer inner products of every 50th vector of embeddings with all others."""
+    """The 5 highest integer inner products of every 50th vector of embeddings with all others; scores beyond a long stay at its end."""
     kept = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = kept.filter(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("e", lambda x: F.floor(x * 256).cast("double")).alias("embedding"))
-    out = exact_top_k(whole, whole.filter("vec_id % 50 = 0"), 5)
-    return out.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    out = exact_top_k(whole, "vec_id % 50 = 0", 5)
+    most = F.lit(float(2**63 - 1024))  # the largest double below a long's end
+    return out.select("query_id", "rank", "vec_id", F.greatest(F.least("score", most), -most).cast("long").alias("score"))
 
 
 OP3_SQL = """
