@@ -28,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import bounded_batches
+
 WINDOW, END_ID, GROUP_WINDOWS, SLACK, SHORTEST = 4096, 2, 192, 0.015, 256
 #: Characters of text that are tokenised at once, and words that a worker remembers.
-CHUNK_CHARS, MEMORY_WORDS = 4_000_000, 600_000
+CHUNK_CHARS, MEMORY_WORDS = 4_000_000, 400_000
 #: A Latin letter (but U+0130, whose lower case ends in a mark) before ASCII punctuation or a digit: the tokenizer always cuts there.
 CUT = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\[-`{-~])"
 
@@ -271,6 +273,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col: s
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     fields = [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int64()))] * with_ids
     ddl = ", ".join(f"{n} {'array<long>' if n == 'ids' else 'long'}" for n, _ in fields)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_packer(tokenizer_path, capacity, end_id, with_ids, pa.schema(fields)), ddl)
 

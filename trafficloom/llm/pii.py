@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..plans.shared import materialize
+from ..plans.shared import bounded_batches, materialize
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "spelt", "iban", "ssn")
@@ -234,6 +234,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and all candidate spans with their votes, one row per row of docs; null texts are empty."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_found, f"doc_id long, found {SPANS}")
 
 
@@ -280,6 +281,7 @@ def redact(text: str | None, weights: np.ndarray) -> str | None:
 
 def redact_documents(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with personal spans replaced in its text; other columns as they are."""
+    bounded_batches(docs.sparkSession)
     schema = StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema])
 
     def run(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..plans.shared import materialize, release
+from ..plans.shared import bounded_batches, materialize, release
 
 #: Most labelled documents that are learned from, whatever the size of the tables.
 TRAIN_ROWS = 12_000
@@ -38,6 +38,7 @@ INFORMATIVE = 6.63
 PREFIXES, CONCENTRATION, LIMIT, DRIFT, SIGNIFICANT = (3, 4, 5, 6), (50.0, 20.0, 10.0, 5.0, 3.0), 8.0, 0.7, 0.05
 #: Words whose scores a worker remembers; forgetting them only costs time.
 MEMORY_WORDS = 200_000
+CONTEXTS_HELD = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -121,15 +122,22 @@ def held_out(doc_id):
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, context, toxic, half: each word with its two neighbours (as a hash), once a batch."""
+    """word, context, toxic, half: each word with its two neighbours (as a hash); what repeats among CONTEXTS_HELD of them is put out once."""
+    seen: set[tuple] = set()
+
+    def flush() -> pa.RecordBatch:
+        word, context, toxic, half = zip(*seen) if seen else ((), (), (), ())
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(context, pa.int64()), pa.array(toxic, pa.int32()), pa.array(half, pa.int32())], names=["word", "context", "toxic", "half"])
+
     for b in batches:
-        seen = set()
-        for text, y, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half"))):
-            words = tokens(text)
+        for text, y, half in zip(*(b.column(c) for c in ("text", "toxic", "half"))):
+            words, y, half = tokens(text.as_py()), y.as_py(), half.as_py()
             for before, w, after in zip(["", *words], words, [*words[1:], ""]):
                 seen.add((w, zlib.crc32(f"{before} {after}".encode()), y, half))
-        word, context, toxic, half = zip(*seen) if seen else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(context, pa.int64()), pa.array(toxic, pa.int32()), pa.array(half, pa.int32())], names=["word", "context", "toxic", "half"])
+                if len(seen) >= CONTEXTS_HELD:
+                    yield flush()
+    yield flush()
 
 
 #: Counts of the whole sample and of its two halves.
@@ -243,6 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     What reaches the driver are the informative terms and three numbers for each of the TRAIN_ROWS documents at most.
     """
+    bounded_batches(docs.sparkSession)
     train = materialize(training_rows(docs, labels), "train")
     terms = informative_terms(term_counts(train)).collect()
     lexicons = [_lexicon([(r["term"], r[toxic], r[clean]) for r in terms if r[f"tells{h}"]]) for h, (toxic, clean) in zip(("", "0", "1"), COUNTS)]
@@ -278,6 +287,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str], text
     Every row is scored by its own text alone, so repeated rows score alike and there are no ties to break.
     docs may hold further columns of any name; they are left out. An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*(F.col(c) for c in dict.fromkeys([*keep, text_col])))
     rows = rows if text_col == "text" else rows.withColumn("text", F.col(text_col))
     kept = StructType([docs.schema[c] for c in keep] + [StructField("toxicity", DoubleType())])
