@@ -81,6 +81,34 @@ def test_groups_against_brute_force(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in kept) == sorted({c for _, _, c in got})
 
 
+@pytest.mark.parametrize("sampled", [1, 64])
+def test_hot_anchors(spark, monkeypatch, sampled):
+    """Many fingerprints around one: their anchors are dealt as tiles, and the links join what brute force joins."""
+    monkeypatch.setattr(S, "RUN_LIMIT", 20)
+    monkeypatch.setattr(S, "SAMPLED", sampled)
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    known = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(500)} | {rng.getrandbits(64) for _ in range(300)})
+    fps = spark.createDataFrame([(f - (1 << 64) * (f >> 63),) for f in known], "fp long")
+    assert S.hot_anchors(fps) or sampled > 1
+    links = {tuple(x & (2**64 - 1) for x in r) for r in S.near_links(fps).collect()}
+
+    def components(pairs):
+        root = {f: f for f in known}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {f: find(f) for f in known}
+
+    assert components(links) == components((a, b) for i, a in enumerate(known) for b in known[:i] if (a ^ b).bit_count() <= 4)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicate_groups(df).count() == 0

@@ -14,8 +14,8 @@ radius plus the threshold, with the threshold shared between the two sides
 rather than put on one (10 copies a pair on average instead of 61).
 
 Each anchor's fingerprints are compared with each other, sorted by anchor and
-streamed; anchors with more than RUN_LIMIT fingerprints are dealt anew as tiles
-of a grid. What leaves an anchor is a spanning forest, never all pairs. Groups
+streamed. The anchors that a sample shows to hold most are dealt as tiles of a grid before anything is
+sorted, others with more than RUN_LIMIT fingerprints after. What leaves an anchor is a spanning forest, never all pairs. Groups
 of equal fingerprints are collapsed before, and components are found with joins.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.shared import materialize
+from ..plans.shared import bounded_batches, materialize
 from ..plans.skew import skewed_lookup
 
 SHINGLE, SEED, BITS, THRESHOLD = 4, 42, 64, 4
@@ -42,6 +42,8 @@ CODE_BITS, CODE_RADIUS, GENERATOR = 23, 3, 0b110001110101
 #: Fingerprints of one anchor that are compared within one task at once.
 RUN_LIMIT = 2048
 SHORT_RUN = 48
+#: Anchors that are dealt as tiles from the start, and the share of fingerprints (one of so many) that they are found in.
+HOT_ANCHORS, SAMPLED = 200, 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -109,12 +111,46 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(own)
 
 
-def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for k in range(0, len(fp), 4096):
-            key, own = anchors(fp[k:k + 4096])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own.view(np.int64))], names=["key", "fp"])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def _to_anchors(hot: dict[int, int]):
+    """(anchor, fingerprint) rows; those of hot anchors go to the tiles of a grid of so many parts instead, two parts a tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts = np.array(sorted(hot), dtype=np.int64), np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
+        for b in batches:
+            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(fp), 4096):
+                key, own = anchors(fp[k:k + 4096])
+                at = np.searchsorted(names, key).clip(max=max(len(names) - 1, 0))
+                warm = names[at] == key if len(names) else np.zeros(len(key), dtype=bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[~warm]), pa.array(own[~warm].view(np.int64))], names=["key", "fp"])
+                for place in np.unique(at[warm]):
+                    mine, n = own[warm & (at == place)], int(parts[place])
+                    part = (_mixed(mine) % np.uint64(n)).astype(np.int64)
+                    for other in range(n):
+                        tile = np.minimum(part, other) * n + np.maximum(part, other)
+                        tile = _mixed(_mixed(tile.view(np.uint64)) ^ np.uint64(names[place])).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(mine.view(np.int64))], names=["key", "fp"])
+
+    return run
+
+
+def hot_anchors(fps: DataFrame) -> dict[int, int]:
+    """The anchors that hold most fingerprints, as found in one of SAMPLED of them, and how many parts each is dealt in.
+
+    At most HOT_ANCHORS, whatever the table; any choice gives the same links.
+    """
+    some = fps.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).select("fp")
+    counts = some.mapInArrow(_to_anchors({}), "key long, fp long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.filter(F.col("n") * SAMPLED >= 4 * RUN_LIMIT).orderBy(F.col("n").desc(), "key").limit(HOT_ANCHORS).collect()
+    return {r.key: -(-r.n * SAMPLED // (RUN_LIMIT // 2)) for r in most}
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -207,7 +243,7 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    first = materialize(_sorted_runs(fps.select("fp").mapInArrow(_to_anchors, "key long, fp long"), _compare(threshold, RUN_LIMIT)), "anchors")
+    first = materialize(_sorted_runs(fps.select("fp").mapInArrow(_to_anchors(hot_anchors(fps)), "key long, fp long"), _compare(threshold, RUN_LIMIT)), "anchors")
     hot = first.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
     sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (RUN_LIMIT // 2)).cast("int").alias("n"))
     part = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
@@ -226,6 +262,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     0 and are linked like any other; repeated rows each get their row; null ids
     come last when the smallest is taken; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
     rows = docs.select(uid.alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(rows.mapInArrow(_fingerprints, f"uid {rows.schema['uid'].dataType.simpleString()}, doc_id long, fp long"), "simhash")
