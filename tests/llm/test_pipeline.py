@@ -14,7 +14,8 @@ from trafficloom.llm import pii, toxicity
 from test_simhash import slow_fingerprint
 
 SHORT = [("Fresh bread and butter for the whole village today", "en", "web")] * 2
-ODD = [(9001, None, "en", "web", None), (9002, "", "en", None, 0), (None, "no id at all in this row of words", "en", "news", 36), (9004, "mail me: ann@site.org or 10.0.0.7", None, None, 33)]
+ODD = [(9001, None, "en", "web", None), (9002, "", "en", None, 0), (None, "no id at all in this row of words", "en", "news", 36), (9004, "mail me: ann@site.org or 10.0.0.7", None, None, 33),
+       (9005, " ".join(f"word{k % 977}" for k in range(60_000)) + " call +1 (017) 555-7713", "en", "web", 1), (9006, "x" * 300_000, "en", "web", 1)]
 
 
 def fixture_tables(spark, folder):
@@ -108,6 +109,15 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(w), sorted(w)[1:])) and min(w)[0] == 0 and sum(n for _, n in w) <= 4096
 
 
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    from trafficloom.plans import shared
+
+    fixture_tables(spark, tmp_path)
+    before = set(shared._made)
+    out = C.run(spark, str(tmp_path))
+    assert set(shared._made) - before == {out._shared_path} and out.count() > 0
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
