@@ -43,9 +43,10 @@ def test_batches_equal_histogram_edges(spark):
         assert [r.batch for r in flows.time_batches(df, width).orderBy("flow_idx").collect()] == want.tolist()
 
 
-@pytest.mark.parametrize("hub", [1000, 30])
-def test_components_and_rank_and_lookup(spark, monkeypatch, hub):
+@pytest.mark.parametrize("hub, small", [(1000, 100_000), (1000, 0), (30, 0), (30, 300)])
+def test_components_and_rank_and_lookup(spark, monkeypatch, hub, small):
     monkeypatch.setattr(components, "HUB_EDGES", hub)
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 700)] + [(999, k) for k in range(800, 950)] + [(7, 7)]
     root = {}
@@ -60,6 +61,12 @@ def test_components_and_rank_and_lookup(spark, monkeypatch, hub):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {x: find(x) for x in {v for e in edges if e[0] != e[1] for v in e}}
+    named = spark.createDataFrame([(f"é{a}", f"é{b}") for a, b in edges], "src string, dst string")
+    texts = {r.node: r.component for r in connected_components(named).collect()}
+    members = {}
+    for x, c in got.items():
+        members.setdefault(c, []).append(f"é{x}")
+    assert texts == {x: min(m) for m in members.values() for x in m}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     ranked = global_rank(spark.createDataFrame([(x,) for x in (5, 3, 9, 1, 7)], "x long"), "nth", [F.col("x")])
     assert {(r.x, r.nth) for r in ranked.collect()} == {(1, 0), (3, 1), (5, 2), (7, 3), (9, 4)}
