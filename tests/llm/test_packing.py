@@ -68,6 +68,17 @@ def test_differencing_is_multiway_differencing(sizes, windows):
         assert sorted(sums) == parts[0]
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_chunks_hold_all_rows_in_order(monkeypatch, most):
+    monkeypatch.setattr(P, "CHUNK_BYTES", most)
+    texts = ["abc", None, "", "é" * 9, "x", "yy", "", "zzzz", None]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(a, a + 3)), "text": pa.array(texts[a:a + 3], pa.string())}) for a in (0, 3, 6)]
+    found = [(i.to_pylist(), t.to_pylist()) for i, t in P._chunks(iter(batches))]
+    assert [x for i, _ in found for x in i] == list(range(9)) and [x for _, t in found for x in t] == [t or "" for t in texts]
+    assert all(len(t) == 1 or sum(len(x.encode()) for x in t) <= most for _, t in found) and (most < 1000 or len(found) == 1)
+    assert not list(P._chunks(iter([])))
+
+
 def test_pieces(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"word{k}" for k in rng.integers(0, 50, n)) for n in [*rng.integers(0, 900, 60), 9000, 4096]] + [None, "", " \n", "é" * 3000]

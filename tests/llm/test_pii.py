@@ -50,6 +50,27 @@ def test_long_parts_and_whole_spans():
     assert pii.spelt_addresses("..a.b(at)c (dot) d, [at] x [dot] y") == [(2, 18)]
 
 
+def test_looser_spans_against_plain_patterns():
+    """Spelt-out addresses by one plain pattern (its leading punctuation cut), bank accounts by their check sum, numbers by their ranges."""
+    rng = random.Random(11)
+    pieces = ["jo", ".", "-", "_", " ", "[at]", "(AT)", " [at] ", "[dot]", " (dot) ", "com", "a-b", "é", "[", "x1", "@"]
+    plain_spelt = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(](?i:at)[\])] ?[A-Za-z0-9-]+(?: ?[\[(](?i:dot)[\])] ?[A-Za-z0-9-]+)+")
+    for _ in range(6000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 10)))
+        want = []
+        for m in plain_spelt.finditer(text):
+            start = m.start()
+            while not text[start].isalnum() and text[start] not in "[( ":
+                start += 1
+            if text[start].isalnum():
+                want.append((start, m.end()))
+        assert pii.spelt_addresses(text) == want, text
+    account = "DE89 3704 0044 0532 0130 00"
+    assert [c[:3] for c in pii.candidates(f"iban {account} ok")] == [("iban", 5, 5 + len(account))]
+    assert pii.candidates(f"iban {account} ok")[0][3][0] == "+" and pii.candidates(f"iban {account[:-1]}1 ok")[0][3][0] == "-"
+    assert [pii.candidates(f"x {n} y")[0][3][0] for n in ("123-45-6789", "000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000")] == ["+", "-", "-", "-", "-", "-"]
+
+
 def test_labelers_see_evidence_of_their_own():
     def cast(text):
         return pii.candidates(text)[0][3][:3]

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..plans.shared import bounded_batches
 
 WINDOW, END_ID, GROUP_WINDOWS, SLACK, SHORTEST = 4096, 2, 192, 0.015, 256
-#: Characters of text that are tokenised at once, and words that a worker remembers.
-CHUNK_CHARS, MEMORY_WORDS = 4_000_000, 400_000
+#: Bytes of text that are tokenised at once, and words that a worker remembers.
+CHUNK_BYTES, MEMORY_WORDS = 8_000_000, 1_000_000
 #: A Latin letter (but U+0130, whose lower case ends in a mark) before ASCII punctuation or a digit: the tokenizer always cuts there.
 CUT = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\[-`{-~])"
 
@@ -116,7 +116,7 @@ class WordEncoder:
         coded = pc.list_flatten(lists).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        word = self.numbers(coded.dictionary.to_pylist())
+        word = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         begin, length = self.ends[word], self.ends[word + 1] - self.ends[word]
         code = coded.indices.to_numpy(zero_copy_only=False)
         each = length[code]
@@ -204,6 +204,34 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
             return best[1:]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """doc_id and text (null: empty) of rows that together have CHUNK_BYTES of text at most, or of a single longer one."""
+    held: list[tuple[pa.Array, pa.Array]] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        ids, texts = (pa.concat_arrays(columns) for columns in zip(*held))
+        held.clear()
+        return ids, texts
+
+    for b in batches:
+        ids, texts, at = b.column("doc_id"), pc.fill_null(b.column("text"), ""), 0
+        reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < len(texts):
+            start = int(reach[at - 1]) if at else 0
+            stop = int(np.searchsorted(reach, start + CHUNK_BYTES - size, "right"))
+            if stop <= at and held:
+                yield joined()
+                size = 0
+                continue
+            stop = max(at + 1, stop)
+            held.append((ids.slice(at, stop - at), texts.slice(at, stop - at)))
+            size += int(reach[stop - 1]) - start
+            at = stop
+    if held:
+        yield joined()
+
+
 def _packer(path: Callable[[], str] | str, capacity: int, end_id: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
@@ -232,27 +260,22 @@ def _packer(path: Callable[[], str] | str, capacity: int, end_id: int, with_ids:
             waiting.clear()
             return rows(out)
 
-        for b in batches:
-            size, at = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), 0
-            reach = np.cumsum(size)
-            while at < b.num_rows:
-                stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + CHUNK_CHARS, "right")))
-                ids, bounds = encoder.texts(pc.fill_null(b.column("text").slice(at, stop - at), ""))
-                full = []
-                for k, doc in enumerate(b.column("doc_id").slice(at, stop - at).to_pylist()):
-                    own = np.append(ids[bounds[k]:bounds[k + 1]], np.array([end_id], dtype="<u4")).astype("<u4", copy=False)
-                    rest = len(own) // capacity * capacity
-                    for s in range(0, rest, capacity):
-                        full.append(row(doc, s, own[s:s + capacity], len(own), made, 0))
-                        made += 1
-                    if rest < len(own):
-                        waiting.append((doc, rest, own[rest:], len(own)))
-                        held += len(own) - rest
-                        if held >= GROUP_WINDOWS * capacity:
-                            yield flush()
-                if full:
-                    yield rows(full)
-                at = stop
+        for doc_ids, texts in _chunks(batches):
+            ids, bounds = encoder.texts(texts)
+            full = []
+            for k, doc in enumerate(doc_ids.to_pylist()):
+                own = np.append(ids[bounds[k]:bounds[k + 1]], np.array([end_id], dtype="<u4")).astype("<u4", copy=False)
+                rest = len(own) // capacity * capacity
+                for s in range(0, rest, capacity):
+                    full.append(row(doc, s, own[s:s + capacity], len(own), made, 0))
+                    made += 1
+                if rest < len(own):
+                    waiting.append((doc, rest, own[rest:], len(own)))
+                    held += len(own) - rest
+                    if held >= GROUP_WINDOWS * capacity:
+                        yield flush()
+            if full:
+                yield rows(full)
         if waiting:
             yield flush()
 
