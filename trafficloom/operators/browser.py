@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import nearest_values, running_sums
+from ..plans.shared import materialize
 
 FEATURES = ("d_cluster", "d_incoming", "d_outgoing", "ratio")
 
@@ -21,7 +22,7 @@ def rolling(rows: DataFrame, seconds: float = 5.0) -> DataFrame:
     """
     width = int(seconds * 1e6)
     t = rows.select("flow_idx", F.round(F.col("time_start") * 1e6).cast("long").alias("us"), "dest_id", F.col("bytes_in").cast("long").alias("incoming"), F.col("bytes_out").cast("long").alias("outgoing"))
-    t = t.withColumn("slice", F.floor(F.col("us") / width))
+    t = materialize(t.withColumn("slice", F.floor(F.col("us") / width)), "timed")
     ends = t.groupBy("dest_id", "slice").agg(F.min("us").alias("low"), F.max("us").alias("high"))
     w, v = Window.partitionBy("dest_id", "slice").orderBy("us", "flow_idx"), Window.partitionBy("dest_id").orderBy("slice")
     beside = ends.select("dest_id", "slice", F.lag("high").over(v).alias("earlier"), F.lead("low").over(v).alias("later"))
@@ -60,10 +61,11 @@ def smooth(rows: DataFrame, before: float = 10.0, after: float = 10.0) -> DataFr
     hits = t.filter("prediction = 1").select("us", F.lit(None).cast("long").alias("flow_idx")).distinct()
     hits = hits.withColumn("slice", F.explode(F.sequence(F.floor(F.col("us") / width) - 1, F.floor(F.col("us") / width) + 1)))
     asked = t.select("us", "flow_idx").withColumn("slice", F.floor(F.col("us") / width))
-    w = Window.partitionBy("slice").orderBy("us", F.col("flow_idx").asc_nulls_first())
+    down = Window.partitionBy("slice").orderBy("us", F.col("flow_idx").asc_nulls_first())
+    up = Window.partitionBy("slice").orderBy(F.col("us").desc(), F.col("flow_idx").desc_nulls_last())
     at = F.when(F.col("flow_idx").isNull(), F.col("us"))
     near = hits.select("us", "flow_idx", "slice").unionByName(asked.select("us", "flow_idx", "slice"))
-    near = near.withColumn("earlier", F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("later", F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("flow_idx IS NOT NULL")
+    near = near.withColumn("earlier", F.last(at, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("later", F.last(at, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))).filter("flow_idx IS NOT NULL")
     hit = (F.col("us") - F.col("earlier") <= int(after * 1e6)) | (F.col("later") - F.col("us") <= int(before * 1e6))
     return near.select("flow_idx", F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(-1).alias("prediction"))
 

@@ -14,7 +14,7 @@ from ..plans.skew import skewed_left
 def key_destinations(flows: DataFrame) -> DataFrame:
     """(batch, key, dest_id): endpoints d|ip|port and certificates c|serial; dest_id is the component's first flow."""
     rows = flows.select("batch", "flow_idx", destination_key().alias("d"), F.concat(F.lit("c|"), F.col("cert")).alias("c"))
-    ends = rows.groupBy("batch", "d", "c").agg(F.min("flow_idx").alias("i"))
+    ends = materialize(rows.groupBy("batch", "d", "c").agg(F.min("flow_idx").alias("i")), "ends")
 
     def node(key):
         return F.concat(F.col("batch").cast("string"), F.lit("/"), F.col(key))
@@ -29,7 +29,7 @@ def key_destinations(flows: DataFrame) -> DataFrame:
 
 def lookup_destinations(flows: DataFrame, keys: DataFrame) -> DataFrame:
     """flows with dest_id: by endpoint first, then by certificate, else -1. flow_idx names a flow."""
-    rows = flows.select("flow_idx", "batch", destination_key().alias("d"), F.concat(F.lit("c|"), F.col("cert")).alias("c"))
+    rows = materialize(flows.select("flow_idx", "batch", destination_key().alias("d"), F.concat(F.lit("c|"), F.col("cert")).alias("c")), "asked")
     found = skewed_left(rows, keys.select("batch", F.col("key").alias("d"), F.col("dest_id").alias("by_end")), ["batch", "d"])
     found = skewed_left(found, keys.select("batch", F.col("key").alias("c"), F.col("dest_id").alias("by_cert")), ["batch", "c"])
     return flows.join(found.select("flow_idx", F.coalesce("by_end", "by_cert", F.lit(-1)).alias("dest_id")), "flow_idx").select(*flows.columns, "dest_id")

@@ -232,7 +232,7 @@ class Tables:
 
     def __init__(self, rows: DataFrame, batch: float, window: float, correlation: float):
         self.window, self.correlation = window, correlation
-        self.batched = flows.time_batches(rows, batch)
+        self.batched = flows.time_batches(materialize(rows, "flows"), batch)
 
     @cached_property
     def keys(self) -> DataFrame:

@@ -15,7 +15,6 @@ from .shared import materialize
 
 PART = "__part"
 BEFORE = (Window.unboundedPreceding, -1)
-AFTER = (1, Window.unboundedFollowing)
 
 
 def dealt(df: DataFrame, order: list[Column], name: str = "dealt") -> DataFrame:
@@ -54,12 +53,13 @@ def rank_within(df: DataFrame, name: str, total: str, scope: str, order: list[Co
 def nearest_values(df: DataFrame, value: Column, scope: list[str], order: list[str]) -> DataFrame:
     """df with ``before`` and ``after``: the last value above and the first value below each row that are not null, in its scope."""
     rows = dealt(df, [F.col(c) for c in [*scope, *order]], "dealt")
-    w = Window.partitionBy(PART, *scope).orderBy(*order)
+    # what follows is looked up in the order turned round, as a frame that ends with its partition takes quadratic time
+    down, up = (Window.partitionBy(PART, *scope).orderBy(*(F.col(c) if way else F.col(c).desc() for c in order)).rowsBetween(*BEFORE) for way in (True, False))
     at = F.when(value.isNotNull(), F.struct(*order))
     ends = rows.groupBy(PART, *scope).agg(F.max_by(value, at).alias("__last"), F.min_by(value, at).alias("__first"))
-    v = Window.partitionBy(*scope).orderBy(PART)
-    ends = ends.select(PART, *scope, F.last("__last", ignorenulls=True).over(v.rowsBetween(*BEFORE)).alias("__b"), F.first("__first", ignorenulls=True).over(v.rowsBetween(*AFTER)).alias("__a"))
-    out = rows.withColumn("before", F.last(value, ignorenulls=True).over(w.rowsBetween(*BEFORE))).withColumn("after", F.first(value, ignorenulls=True).over(w.rowsBetween(*AFTER)))
+    earlier, later = (Window.partitionBy(*scope).orderBy(F.col(PART) if way else F.col(PART).desc()).rowsBetween(*BEFORE) for way in (True, False))
+    ends = ends.select(PART, *scope, F.last("__last", ignorenulls=True).over(earlier).alias("__b"), F.last("__first", ignorenulls=True).over(later).alias("__a"))
+    out = rows.withColumn("before", F.last(value, ignorenulls=True).over(down)).withColumn("after", F.last(value, ignorenulls=True).over(up))
     out = out.join(ends, [PART, *scope])
     return out.withColumn("before", F.coalesce("before", "__b")).withColumn("after", F.coalesce("after", "__a")).drop(PART, "__b", "__a")
 

@@ -238,7 +238,7 @@ def browser_smoothing(spark, d):
 
 
 def _whole(spark, d):
-    f = _flows(spark, d).withColumn("batch", F.lit(1))
+    f = materialize(_flows(spark, d).withColumn("batch", F.lit(1)), "flows")
     return clusters.lookup_destinations(f, clusters.key_destinations(f))
 
 
