@@ -32,7 +32,7 @@ from ..plans.shared import bounded_batches
 
 WINDOW, END_ID, GROUP_WINDOWS, SLACK, SHORTEST = 4096, 2, 192, 0.015, 256
 #: Bytes of text that are tokenised at once, and words that a worker remembers.
-CHUNK_BYTES, MEMORY_WORDS = 8_000_000, 1_000_000
+CHUNK_BYTES, MEMORY_WORDS = 4_000_000, 500_000
 #: A Latin letter (but U+0130, whose lower case ends in a mark) before ASCII punctuation or a digit: the tokenizer always cuts there.
 CUT = r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-@\[-`{-~])"
 
