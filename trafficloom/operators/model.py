@@ -39,8 +39,9 @@ def predict(tests: DataFrame, model: DataFrame, default: str | None = "common")
 
 
 def recognize(tests: DataFrame, model: DataFrame, default: str = "common") -> DataFrame:
-    """fp_id and the label of the closest fingerprint of the model."""
-    return predict(tests, model, default).join(model.select(F.col("fp_id").alias("match_id"), "label"), "match_id", "left").select("fp_id", "label")
+    """tests' distinct fp_id and the label of the closest fingerprint of the model; of a repeated one the first label in the model."""
+    labels = model.groupBy(F.col("fp_id").alias("match_id")).agg(F.min_by("label", F.struct("ord", "label")).alias("label"))
+    return predict(tests, model, default).join(labels, "match_id", "left").select("fp_id", "label")
 
 
 def detect(tests: DataFrame, model: DataFrame, threshold: float | None = None, default_threshold: float = 0.1) -> DataFrame:
