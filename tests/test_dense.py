@@ -31,3 +31,10 @@ def test_flows_get_the_largest_fingerprint_of_a_dense_graph(dense):
     got = {r.flow_idx: r.fp_id for r in dense.assigned.collect()}
     assert got.pop(2 * PAIRS) is None and {i: keys[x] for i, x in got.items()} == {i: expected(i) for i in range(2 * PAIRS)}
     assert {r.n_flows for r in dense.fps.collect()} == {2 * PAIRS, 2 * PAIRS - 1}
+
+
+@pytest.mark.parametrize("over_all", [False])
+def test_fill_of_a_dense_graph(dense, over_all):
+    keys = {r.fp_id: r["keys"] for r in dense.fps.collect()}
+    got = {r.flow_idx: r.fp_id for r in fingerprints.fill_nearest(dense.assigned, over_all).collect()}
+    assert len(got) == 2 * PAIRS + 1 and keys[got[2 * PAIRS]] == expected(2 * PAIRS - 1)
