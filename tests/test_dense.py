@@ -33,7 +33,7 @@ def test_flows_get_the_largest_fingerprint_of_a_dense_graph(dense):
     assert {r.n_flows for r in dense.fps.collect()} == {2 * PAIRS, 2 * PAIRS - 1}
 
 
-@pytest.mark.parametrize("over_all", [False])
+@pytest.mark.parametrize("over_all", [False, True])
 def test_fill_of_a_dense_graph(dense, over_all):
     keys = {r.fp_id: r["keys"] for r in dense.fps.collect()}
     got = {r.flow_idx: r.fp_id for r in fingerprints.fill_nearest(dense.assigned, over_all).collect()}
