@@ -38,3 +38,10 @@ def test_fill_of_a_dense_graph(dense, over_all):
     keys = {r.fp_id: r["keys"] for r in dense.fps.collect()}
     got = {r.flow_idx: r.fp_id for r in fingerprints.fill_nearest(dense.assigned, over_all).collect()}
     assert len(got) == 2 * PAIRS + 1 and keys[got[2 * PAIRS]] == expected(2 * PAIRS - 1)
+
+
+def test_search_is_spread_over_tasks(spark):
+    nodes = spark.createDataFrame([(b, [0], b, [b]) for b in range(64)], "batch int, bins array<int>, node_id long, dest_ids array<long>")
+    edges = spark.createDataFrame([], "batch int, u long, v long, weight double")
+    rows = graph.by_roots(nodes, edges, [])
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and graph.maximal_cliques(nodes, edges).count() == 64
