@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from trafficloom.functions import keys as K
 from trafficloom.operators import fingerprints, graph
+from trafficloom.plans import shared
 
 PAIRS = 40
 
@@ -45,3 +46,14 @@ def test_search_is_spread_over_tasks(spark):
     edges = spark.createDataFrame([], "batch int, u long, v long, weight double")
     rows = graph.by_roots(nodes, edges, [])
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and graph.maximal_cliques(nodes, edges).count() == 64
+
+
+def test_fingerprints_of_all_cliques_are_not_written(spark, dense):
+    """Each is put together where its clique is found: the only table made is that of the edges."""
+    dense.nodes = dense.nodes.filter("node_id < 12")
+    dense.edges = dense.edges.filter("u < 12 AND v < 12")
+    before = list(shared._made)
+    got = dense.every.collect()
+    made = [path.rsplit("/", 1)[1] for path in shared._made if path not in before]
+    assert [name.split("-")[0] for name in made] == ["edges"]
+    assert len({r.fp_id for r in got}) == len(got) == 64 and {len(r["keys"]) for r in got} == {7}
