@@ -1,5 +1,7 @@
 """Graphs with far more cliques than can be listed, and the search for cliques over tasks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,32 @@ def test_fingerprints_of_all_cliques_are_not_written(spark, dense):
     made = [path.rsplit("/", 1)[1] for path in shared._made if path not in before]
     assert [name.split("-")[0] for name in made] == ["edges"]
     assert len({r.fp_id for r in got}) == len(got) == 64 and {len(r["keys"]) for r in got} == {7}
+
+
+def test_edges_go_when_fingerprints_are_found(dense):
+    before = list(shared._made)
+    assert dense.fps.count() > 0
+    assert [path.rsplit("/", 1)[1].split("-")[0] for path in shared._made if path not in before] == ["fingerprints"]
+
+
+@pytest.mark.parametrize("late", [0, 63, 200])
+def test_correlations_with_few_and_many_bins(spark, late):
+    """Every pair of nodes, some of which have bins beyond those that fit into a long."""
+    rng = random.Random(late)
+    bins = {i: sorted(rng.sample(range(8), rng.randint(1, 6))) + sorted(rng.sample(range(62, 63 + late), rng.randint(0, 1) if late else 0)) for i in range(40)}
+    nodes = spark.createDataFrame([(1 + i % 2, b, i, [i]) for i, b in bins.items()], "batch int, bins array<int>, node_id long, dest_ids array<long>")
+    got = {(r.batch, r.u, r.v): r.weight for r in graph.correlations(nodes, 0.2).collect()}
+    score = {(1 + a % 2, a, b): len(set(bins[a]) & set(bins[b])) / len(set(bins[a]) | set(bins[b])) for b in bins for a in range(b) if a % 2 == b % 2}
+    assert got == {k: w for k, w in score.items() if w >= 0.2}
+
+
+def test_pairs_of_nodes_are_not_moved(spark):
+    """Edges between nodes of few bins come from one join; nothing that grows with the pairs is dealt again."""
+    nodes = shared.materialize(spark.createDataFrame([(1, sorted({i % 7, i % 11, i % 13}), i, [i]) for i in range(2000)], "batch int, bins array<int>, node_id long, dest_ids array<long>"))
+    sc, edges = spark.sparkContext, graph.correlations(nodes, 0.1)
+    sc.setJobGroup("pairs", "pairs")
+    assert edges.count() > 200_000
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {stage for job in sc.statusTracker().getJobIdsForGroup("pairs") for stage in sc.statusTracker().getJobInfo(job).stageIds}
+    written = sum(sc._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords() for stage in stages)
+    assert 0 < written < 50_000

@@ -89,3 +89,14 @@ def test_batches_of_bytes(spark):
     shared.bounded_batches(spark)
     assert spark.conf.get(key) == "12345"
     spark.conf.unset(key)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def held():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_") and name.endswith(".data")}
+
+    before = held()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    assert held() <= before and table.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -80,7 +80,7 @@ def assemble_flows(packets: DataFrame, labels: DataFrame | None = None, on_error
             if bad := spoilt.first():
                 raise ValueError(f"flows of {bad.file} are not consistent")
             return dealt
-        return dealt.join(spoilt, "file", "left_anti")
+        return dealt if spoilt.isEmpty() else dealt.join(spoilt, "file", "left_anti")
 
     return global_rank(flows, "flow_idx", [F.col("file"), F.col("first_pkt"), F.col("proto"), F.col("stream")], sound).drop("first_pkt", "spoilt")
 

@@ -25,19 +25,34 @@ def signatures(active: DataFrame) -> DataFrame:
     return active.groupBy("batch", "bins").agg(F.min("dest_id").alias("node_id"), F.array_sort(F.collect_set("dest_id")).alias("dest_ids"))
 
 
+#: Bins that fit into the bits of a positive long.
+MASK_BINS = 63
+
+
 def correlations(nodes: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Edges (batch, u, v, weight): nodes that share a bin, weighted by the Jaccard of their bins.
 
-    At or below a threshold of 0 every pair of a batch is an edge without weight.
+    At or below a threshold of 0 every pair of a batch is an edge without weight. Nodes with bins below MASK_BINS only carry them as
+    the bits of a number, so a pair of those is weighed in the first bin in which it meets; pairs with other nodes are
+    moved once for each bin and counted.
     """
     if threshold <= 0:
         a, b = (nodes.select("batch", F.col("node_id").alias(x)) for x in "uv")
         return a.join(b, "batch").filter("u < v").withColumn("weight", F.lit(None).cast("double"))
-    at = nodes.select("batch", "node_id", F.size("bins").alias("n"), F.explode("bins").alias("bin"))
-    u = at.select("batch", "bin", F.col("node_id").alias("u"), F.col("n").alias("nu"))
-    v = at.select("batch", "bin", F.col("node_id").alias("v"), F.col("n").alias("nv"))
-    shared = u.join(v, ["batch", "bin"]).filter("u < v").groupBy("batch", "u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("c"))
-    return shared.select("batch", "u", "v", (F.col("c") / (F.col("nu") + F.col("nv") - F.col("c"))).alias("weight")).filter(F.col("weight") >= threshold)
+    bits = F.when((F.array_min("bins") >= 0) & (F.array_max("bins") < MASK_BINS), F.expr("aggregate(bins, 0L, (a, b) -> a | shiftleft(1L, b))"))
+    at = nodes.select("batch", "node_id", F.size("bins").alias("n"), bits.alias("bits"), F.explode("bins").alias("bin"))
+
+    def side(rows, x):
+        return rows.select("batch", "bin", F.col("node_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+
+    def pairs(a, b):
+        return side(a, "u").join(side(b, "v"), ["batch", "bin"]).filter("u < v")
+
+    few, many = at.filter("bits IS NOT NULL"), at.filter("bits IS NULL")
+    both = F.col("bu").bitwiseAND(F.col("bv"))
+    first = pairs(few, few).filter(both.bitwiseAND(-both) == F.expr("shiftleft(1L, bin)")).select("batch", "u", "v", "nu", "nv", F.bit_count(both).cast("long").alias("c"))
+    counted = pairs(many, at).unionByName(pairs(few, many)).groupBy("batch", "u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("c"))
+    return first.unionByName(counted).select("batch", "u", "v", (F.col("c") / (F.col("nu") + F.col("nv") - F.col("c"))).alias("weight")).filter(F.col("weight") >= threshold)
 
 
 def unpack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
