@@ -7,7 +7,7 @@ import pytest
 
 from trafficloom import queries
 from trafficloom.functions import keys as K
-from trafficloom.operators import fingerprints
+from trafficloom.operators import fingerprints, graph
 from trafficloom.plans import shared
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,19 @@ def test_only_what_the_search_reads_stays(spark):
     t = queries._tables(spark, SF)
     every = fingerprints.build(t.nodes, t.edges, t.state).collect()
     assert sorted((r.batch, r.fp_id, r["keys"], r.n_flows) for r in found.collect()) == sorted((r.batch, r.fp_id, ",".join(r["keys"]), r.n_flows) for r in every) != []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cliques_of_random_graphs(seed):
+    """Each maximal clique once, from any split of the roots."""
+    rng = random.Random(seed)
+    n, share = rng.randint(1, 12), rng.random()
+    near = [0] * n
+    for a, b in itertools.combinations(range(n), 2):
+        if rng.random() < share:
+            near[a] |= 1 << b
+            near[b] |= 1 << a
+    sets = [x for x in range(1, 1 << n) if all(x & ~(1 << i) & ~near[i] == 0 for i in range(n) if x >> i & 1)]
+    expected = sorted(x for x in sets if not any(x != y and x & y == x for y in sets))
+    assert sorted(graph.clique_bits(near, range(n))) == expected
+    assert sorted([*graph.clique_bits(near, range(0, n, 2)), *graph.clique_bits(near, range(1, n, 2))]) == expected
