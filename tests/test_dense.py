@@ -88,3 +88,45 @@ def test_pairs_of_nodes_are_not_moved(spark):
     stages = {stage for job in sc.statusTracker().getJobIdsForGroup("pairs") for stage in sc.statusTracker().getJobInfo(job).stageIds}
     written = sum(sc._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords() for stage in stages)
     assert 0 < written < 50_000
+
+
+@pytest.mark.parametrize("n, share", [(70, 0.5), (130, 0.2), (64, 0.6), (20, 1.0), (9, 0.0)])
+def test_cliques_come_together(n, share):
+    """Against plain backtracking, with several words of bits: each clique once, from any split of the roots, and with few branches held at a time."""
+    rng = random.Random(n)
+    near = [0] * n
+    for b in range(n):
+        for a in range(b):
+            if rng.random() < share:
+                near[a] |= 1 << b
+                near[b] |= 1 << a
+
+    def plain(chosen, open_, done):
+        if not open_ | done:
+            yield chosen
+        while open_:
+            low = open_ & -open_
+            some = near[low.bit_length() - 1]
+            yield from plain(chosen | low, open_ & some, done & some)
+            open_ ^= low
+            done |= low
+
+    def found(roots, at_once=graph.AT_ONCE):
+        return [int.from_bytes(row.tobytes(), "little") for rows in graph.clique_rows(near, roots, at_once) for row in rows]
+
+    expected = sorted(plain(0, (1 << n) - 1, 0))
+    assert sorted(found(range(n))) == sorted(found(range(n), 1)) == sorted(found(range(0, n, 3)) + found((i for i in range(n) if i % 3))) == expected
+    assert len(list(graph.clique_rows(near, range(n)))) <= 1 + len(expected) // 20
+
+
+def test_cliques_leave_a_task_in_blocks(spark):
+    """2 ** 16 cliques of one graph: all of them, in order of their nodes, by Arrow batches of bounded size."""
+    n = 32
+    nodes = spark.createDataFrame([(1, [i], 100 - i, [100 - i]) for i in range(n)], "batch int, bins array<int>, node_id long, dest_ids array<long>")
+    edges = spark.createDataFrame([(1, 100 - a, 100 - b, 0.5) for a in range(n) for b in range(a) if a // 2 != b // 2], "batch int, u long, v long, weight double")
+    found = graph.maximal_cliques(nodes, edges)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r.node_ids) for r in found.collect()]
+    assert len(got) == len(set(got)) == 1 << 16 and all(len(c) == n // 2 == len({(100 - i) // 2 for i in c}) and list(c) == sorted(c) for c in got)
+    blocks = list(graph.in_blocks(graph.clique_rows(*(lambda near: (near, range(n)))([((1 << n) - 1) & ~(3 << i // 2 * 2) for i in range(n)])), n, 1000))
+    assert [len(b) for b in blocks] == [1000] * 65 + [536]
