@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trafficloom import queries
 from trafficloom.functions import keys as K
@@ -56,3 +57,17 @@ def test_cliques_of_random_graphs(seed):
     expected = sorted(x for x in sets if not any(x != y and x & y == x for y in sets))
     assert sorted(graph.clique_bits(near, range(n))) == expected
     assert sorted([*graph.clique_bits(near, range(0, n, 2)), *graph.clique_bits(near, range(1, n, 2))]) == expected
+
+
+def test_texts_and_ids_are_made_where_cliques_are_found(spark):
+    """As Spark would make them of the lists, with keys outside ASCII and a batch of which no clique has two destinations; Spark itself only passes them on."""
+    rng = random.Random(1)
+    nodes = spark.createDataFrame([(1 + i // 12, [i], i, [i]) for i in range(14)], "batch int, bins array<int>, node_id long, dest_ids array<long>")
+    edges = spark.createDataFrame([(1, a, b, 0.5) for b in range(12) for a in range(b) if rng.random() < 0.6], "batch int, u long, v long, weight double")
+    texts = ["é", "z", "\U0001d11e", "￮", "", "A"]
+    state = spark.createDataFrame([(1 + i // 12, i, [f"d|{texts[i % 6]}|{i}", *rng.sample(["c|1", "c|é", K.NO_CERT], rng.randint(1, 3))], 1 + i) for i in range(14)], "batch int, dest_id long, keys array<string>, n_flows long")
+    found = fingerprints.build(nodes, edges, state, joined=",")
+    assert "sha2" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "array_join" not in plan
+    every = fingerprints.build(nodes, edges, state).withColumn("other", K.fingerprint_id(F.col("keys"))).collect()
+    assert sorted(map(tuple, found.collect())) == sorted((r.batch, r.fp_id, ",".join(r["keys"]), r.n_flows) for r in every) and {r.batch for r in every} == {1}
+    assert all(r.fp_id == r.other for r in every) and len(every) > 5
